@@ -29,7 +29,7 @@ from .shared import Scratch, WordHashes, lower_words, summed, vectors, windows
 #: Bits of a shingle's place in the table of counts.
 COUNT_BITS = 18
 #: Rounds in which documents are held against one of their bucket.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
@@ -101,18 +101,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     heads = rows.filter(F.col("id").isNotNull()).mapInPandas(prefixes, f"id {kind}, n int, head array<long>, b0 long, b1 long, b2 long, b3 long")
     entries = scratch.save(heads.join(reps, "id", "left_semi"))
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
-    exploded = entries.withColumn("band", bands).select("id", "n", "band", "b0", "b1", "b2", "b3", F.posexplode("head").alias("pos", "token"))
+    exploded = entries.withColumn("band", bands).select("id", "n", "band", F.posexplode("head").alias("pos", "token"))
+    bits = entries.select("id", *(f"b{k}" for k in range(4)))
 
     def needed(a: str, b: str) -> F.Column:
         return F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100.0 + percent) - 1e-9)
 
-    def filters(a: str, b: str) -> F.Column:
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    def near(a: str, b: str) -> F.Column:
+        """The length and positional filters."""
+        na, nb, pa, pb = (F.col(f"{x}.{c}") for c in ("n", "pos") for x in (a, b))
         length = (100 * na >= percent * nb) & (100 * nb >= percent * na)
-        pa, pb = F.col(f"{a}.pos"), F.col(f"{b}.pos")
-        position = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1) >= needed(a, b)
+        return length & (F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1) >= needed(a, b))
+
+    def alike(a: str, b: str) -> F.Column:
+        """The suffix filter: at least so many shingles are in one set alone."""
         apart = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
-        return length & position & ((na + nb - apart) >= 2 * needed(a, b))
+        return F.col(f"{a}.n") + F.col(f"{b}.n") - apart >= 2 * needed(a, b)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held_id, held = WordHashes(), None, None
@@ -153,12 +157,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             tokens = scratch.save(tokens)
         if r < rounds:
             # the bucket's first document, then one drawn anew for each bucket and round
-            draw = F.struct(F.xxhash64("id", "token", F.lit(r)).alias("draw") if r else F.lit(0).alias("draw"), "id", "c", "n", "pos", "b0", "b1", "b2", "b3")
-            hubs = tokens.groupBy("token", "band").agg(F.min(draw).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("token", "band", "hub.*")
-            pairs = tokens.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & filters("x", "y"))
+            draw = F.struct("id", "n", "pos") if not r else F.struct(F.xxhash64("id", "token", F.lit(r)).alias("draw"), "id", "n", "pos", "c")
+            hubs = tokens.groupBy("token", "band").agg(F.min(draw).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+            hubs = hubs.select("token", "band", "hub.*") if r else hubs.select("token", "band", "hub.*", F.col("hub.id").alias("c"))
+            met = tokens.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & near("x", "y"))
+            met = met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+            ends = entries.select("id", "n", *(f"b{k}" for k in range(4)))
+            pairs = met.join(ends.alias("p"), F.col("a") == F.col("p.id")).join(ends.alias("q"), F.col("b") == F.col("q.id")).filter(alike("p", "q")).select("a", "b")
         else:
-            pairs = tokens.alias("x").join(tokens.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & filters("x", "y"))
-        pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+            full = tokens.join(bits, "id")
+            pairs = full.alias("x").join(full.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & near("x", "y") & alike("x", "y"))
+            pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
         pairs = scratch.save(pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs)
         if not pairs.isEmpty():
             labels = relabelled(verified(pairs))
