@@ -15,6 +15,7 @@ from .packing import packed_documents
 from .quality import quality_rules
 from .shared import table
 from .sharding import shard_by_bytes
+from .substring_dedup import repeated_passages
 from .token_counts import prefix_counts
 
 
@@ -35,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, n=5, percent=80)
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op8_language_id": op8_language_id,
