@@ -13,6 +13,8 @@ from .jaccard_join import jaccard_classes
 from .language_id import fit, predict
 from .packing import packed_documents
 from .quality import quality_rules
+from .secret_scan import scan
+from .sentencepieces import encoded
 from .shared import table
 from .sharding import shard_by_bytes
 from .substring_dedup import repeated_passages
@@ -48,6 +50,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
@@ -56,6 +62,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows, model, keep=("doc_id", "held_out"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of documents labelled good and not toxic."""
     return table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
@@ -72,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
 }
 
