@@ -95,32 +95,33 @@ def rules(text: str | None, known: WordHashes) -> tuple[int, int, int, int, int]
     return n, chars, len(_SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeats
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) and the columns ``keep``.
+def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with ``_quality``: struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept>.
 
     ``trusted`` has the ids of the trusted target in its column ``id_col``.
     Rows are judged one by one: null text has no words and fails, repeated rows
     get equal verdicts, null ids are judged but never trusted. With no trusted
-    text every score is 0.
+    text every score is 0. Other columns don't leave the JVM.
     """
-    marked = docs.join(trusted.select(F.col(id_col)).filter(F.col(id_col).isNotNull()).distinct().withColumn("_trusted", F.lit(True)), id_col, "left")
-    stats = counted(marked, text_col, "_trusted")
+    ids = trusted.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True))
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words")).join(ids, "_id", "left")
+    stats = counted(marked, "_words", "_trusted")
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(stats["raw"], stats["target"]))  # BUCKETS doubles
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, weight = WordHashes(), ratio.value
-        for pdf in batches:
-            found = pd.DataFrame([rules(t, known) for t in pdf["_text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
-            score = [float(weight[b].mean()) if len(b := gram_buckets(t)) else 0.0 for t in pdf["_text"]]
-            out = pd.concat([pdf.drop(columns="_text") if not keep_text else pdf.rename(columns={"_text": text_col}), found], axis=1)
+        for texts in batches:
+            out = pd.DataFrame([rules(t, known) for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
             out["base_failed"] = (out["n_words"] < 50) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
-            out["score"] = score
+            out["score"] = [float(weight[b].mean()) if len(b := gram_buckets(t)) else 0.0 for t in texts]
             out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
             yield out
 
-    keep_text = text_col in keep
-    carried = [c for c in keep if c not in (id_col, text_col)]
-    fields = [docs.schema[c] for c in (id_col, *carried)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + (f", `{text_col}` string" if keep_text else "")
-    rows = docs.select(id_col, *carried, F.col(text_col).alias("_text"))
-    return rows.mapInPandas(judge, schema + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
+    return docs.withColumn("_quality", judge(F.col(text_col)))
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, and the fields of ``_quality``) of each row."""
+    rows = judged(docs.select(F.col(id_col), F.col(text_col)), trusted, id_col, text_col, threshold)
+    return rows.select(id_col, "_quality.*")
