@@ -56,7 +56,7 @@ class PieceTransducer:
         cut = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else "(?s).+")
         self.pairs = Memo(self._stand, limit)
-        self.paths = Memo(self._path, limit)
+        self.paths = Memo(self._single_path if self.merges else self._path, limit)
 
     def normalised(self, text: str) -> str:
         if not self.plain:
@@ -76,6 +76,30 @@ class PieceTransducer:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols == list(pair) and (symbols[0] + symbols[1]) not in ids
 
+    def _single_path(self, part: str) -> bytes:
+        """The same for a merge model, whose acceptor leaves one state at each position."""
+        ids, pairs, longest = self.ids, self.pairs, self.longest
+        last, out, back = [""], [()], [0]
+        for i in range(1, len(part) + 1):
+            for j in range(max(0, i - longest), i):
+                piece = part[j:i]
+                k = ids.get(piece)
+                if k is not None and (not last[j] or pairs[last[j], piece]):
+                    last.append(piece)
+                    out.append((k,))
+                    back.append(j)
+                    break
+            else:  # no piece covers this character
+                raw = part[i - 1].encode("utf-8", "surrogatepass")
+                last.append("")
+                out.append(tuple(self.bytes[b] for b in raw) if self.bytes else (self.unknown,))
+                back.append(i - 1)
+        at, found = len(part), []
+        while at > 0:
+            found += reversed(out[at])
+            at = back[at]
+        return array("I", reversed(found)).tobytes()
+
     def _path(self, part: str) -> bytes:
         """Ids on the shortest path of one part, from a pass over positions; a state is a position and its last piece."""
         ids, score, pairs = self.ids, self.score, self.pairs

@@ -94,6 +94,7 @@ def test_sentencepieces_equal_the_library():
     for t in ["", " ", "  a   b ", "a" * 40, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500))]:
         assert array("I", m.encode(t)).tolist() == lib.encode(t)
         assert m.decode(m.encode(t)) == lib.decode(lib.encode(t))
+        assert all(m._path(x) == m._single_path(x) for x in m.parts.findall(m.normalised(t)))
 
 
 def shingles(text, n):
