@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from posora.functions import rules
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -398,3 +400,20 @@ def consecutive_runs(spark, sf_dir):
 """)
 def overall_and_slices(spark, sf_dir):
     return read(spark, sf_dir, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("""
+    SELECT o_orderkey,
+           CASE WHEN today < s THEN 'upcoming' WHEN today > e THEN 'completed' ELSE 'active' END AS status,
+           CAST(e - s + 1 AS INT) AS total_days,
+           CAST(CASE WHEN today < s THEN 0 WHEN today > e THEN e - s + 1 ELSE today - s + 1 END AS INT) AS current_day,
+           CAST(CASE WHEN today < s THEN e - s + 1 WHEN today > e THEN 0 ELSE e - today END AS INT) AS remaining_days,
+           CAST(CASE WHEN today < s THEN 0 WHEN today > e THEN 100 ELSE round_even((today - s + 1) * 100.0::DOUBLE / (e - s + 1), 0) END AS INT) AS progress_percent
+    FROM (SELECT o_orderkey, DATE '1998-01-01' AS today, CAST(o_orderdate AS DATE) AS s,
+                 CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 * 20 AS INT) AS e FROM orders)
+""")
+def course_progress(spark, sf_dir):
+    start = F.to_date("o_orderdate")
+    end = F.date_add(start, (F.col("o_orderkey") % 60 * 20).cast("int"))
+    state = rules.course_progress(start, end, F.lit("1998-01-01").cast("date"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", state.alias("state")).select("o_orderkey", "state.*")
