@@ -104,7 +104,8 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     text every score is 0. Other columns don't leave the JVM.
     """
     ids = trusted.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words")).join(ids, "_id", "left")
+    # One shuffle of the texts at every size: ids grow with the labels, so they are never broadcast.
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_words")).join(ids.hint("merge"), "_id", "left")
     stats = counted(marked, "_words", "_trusted")
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(stats["raw"], stats["target"]))  # BUCKETS doubles
 
