@@ -92,7 +92,7 @@ def folded(texts: pd.Series) -> pd.Series:
 
 def ingredient_name(c: Column) -> Column:
     """One spelling of an ingredient: folded, no trailing class number, single blanks, none about + and /."""
-    text = F.regexp_replace(folded(c), r"\s*\(\s*분류번호\s*:[^)]*\)\s*$", "")
+    text = F.regexp_replace(folded(c), r"\s*\(\s*분류번호\s*:[^)]+\)\s*$", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s*([+/])\s*", "$1")
     return F.trim(text)
 

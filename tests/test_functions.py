@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from posora.functions import names, rules
+from posora.functions import compositions, forms, names, rules
 from posora.sources.jsonl import numbered_lines, read_jsonl
 
 
@@ -155,3 +155,94 @@ def test_bad_and_empty_lines(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "none.jsonl").write_text("\n\n")
     assert numbered_lines(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_parts_outside_brackets(spark):
+    cases = [
+        ("A + B/C", ["A", "B", "C"]), ("A (B+C) / D", ["A (B+C)", "D"]), ("x-N/S-y/z", ["x-N/S-y", "z"]), ("[(a]b)+c", ["[(a]b)+c"]),
+        ("a)+b", ["a)", "b"]), ("a (b + c", ["a (b + c"]), ("+ /", []), ("", []), (None, []), ("가＋나", ["가", "나"]),
+    ]
+    check(spark, compositions.split_parts, cases)
+    check(spark, lambda c: compositions.split_parts(c, ";", False), [("a+b; c (d;e)", ["a+b", "c (d;e)"])])
+
+
+def test_atoms(spark):
+    text = "Alpha Sodium (정제) + Beta(감마 포함) / 델타(Delta) / Eta (엡실론) / (x) / Zeta (분류번호: 12)"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id int, names string")
+    got = [tuple(r)[1:] for r in compositions.atoms(rows, "id", "names").orderBy("id", "part").collect()]
+    assert got == [
+        (0, ["alpha sodium"], "정제", False), (1, ["beta", "감마"], None, True), (2, ["델타", "delta"], None, True),
+        (3, ["eta (엡실론)"], None, False), (4, [], None, False), (5, ["zeta"], None, False),
+    ]
+
+
+def test_compositions_resolve_whole_or_not_at_all(spark):
+    known = [
+        ("k", "Alpha", "D1"), ("k", "Beta Sodium", "D2"), ("k", "Gamma", "D3"), ("k", "Gamma", "D4"), ("m", "Alpha", "D5"), ("m", "Naproxen", "D000195"),
+        ("k", None, "D6"), ("k", "Zeta", None), ("k", "Eta Sodium", "D7"), ("k", "Eta Calcium", "D8"), ("m", "Theta", " D9 "),
+    ]
+    cases = [
+        ("Beta + Theta", None, ["D2", "D9"]), ("Alpha", None, None), ("Alpha", "k", ["D1"]), ("alpha hydrochloride/Beta", "k", ["D1", "D2"]),
+        ("Gamma", "k", None), ("Beta + Zeta", "k", None), ("Eta", "k", None), ("Naproxen Sodium", "m", ["D000982"]), ("Alpha (정제)", "k", None), (None, "k", None), ("", "k", None),
+        ("Beta Potassium + beta sodium", "k", ["D2"]), ("Alpha", None, None),
+    ]
+    known = spark.createDataFrame(known, "cat string, name string, code string")
+    rows = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "id int, text string, cat string")
+    everywhere = {r.id: r for r in compositions.resolved(rows.filter("cat IS NULL"), known, "id", "text").collect()}
+    within = {r.id: r for r in compositions.resolved(rows.filter("cat IS NOT NULL"), known, "id", "text", "cat").collect()}
+    got = {**everywhere, **within}
+    assert [got[i].codes for i in range(len(cases))] == [w for _, _, w in cases]
+    assert got[0].signature == '["D2","D9"]' and got[1].signature is None
+    assert compositions.resolved(rows.limit(0), known, "id", "text").count() == 0
+
+
+def test_mixtures(spark):
+    cases = [
+        ("[D000001]Alpha(알파)/[D000002] Beta / ", ([("D000001", "Alpha"), ("D000002", "Beta")], None)), ("[D000001]A[x]/[D000001]A[x]", ([("D000001", "A[x]")], None)),
+        ("[D000001]A/[D000001]B", ([], "conflict")), ("A/[D000001]B", ([], "malformed")), ("A", ([], "malformed")), ("[D000001](알파)", ([], "unnamed")),
+        (None, ([], None)), (" ", ([], None)),
+    ]
+    got = each(spark, compositions.mixture, [c for c, _ in cases])
+    assert [([tuple(e) for e in entries], reason) for entries, reason in got] == [v for _, v in cases]
+
+
+def test_form_scopes(spark):
+    cases = [
+        ((None, None), True), ((" ", "정제"), True), (("정제", None), False), (("정제", "필름코팅정"), True), (("정제", "서방성필름코팅정"), False), (("정제", "장용성 당의정"), False),
+        (("캡슐제", "경질캡슐제, 산제"), True), (("산제", "경질캡슐제, 산제"), False), (("액제", "점안액제"), False), (("액제", "경구용액제"), True), (("시럽 / 주사제", "주사액"), True),
+        (("서방정", "서방정|정제"), True), (("크림;로션제", "외용로션"), True), (("/", "/"), True), (("연고", "정제"), False), (("필름코팅정", "나정"), False),
+    ]
+    check(spark, forms.form_scope_applies, cases, "string string")
+
+
+def test_routes(spark):
+    cases = [
+        (["필름코팅정", " 캡슐"], "oral"), (["정제", "크림"], "unknown"), (["주사용산제"], "injection"), (["외용산제"], "unknown"), (["산제"], "oral"), (["점안액제"], "ophthalmic"),
+        (["붕해정제"], "unknown"), (["기타(정제)"], "oral"), (["피부용액제"], "unknown"), (["외용액제"], "topical"), (["경구액제"], "oral"), ([" ", "나정", None], "oral"), ([], "unknown"), (None, "unknown"),
+        (["정제", "?"], "unknown"),
+    ]
+    check(spark, forms.administration_route, cases, "array<string>")
+
+
+def test_families(spark):
+    cases = [
+        ("가나다정 10mg (수출용)", "가나다"), ("가나 연질캡슐 0.5밀리그램", "가나"), ("가정", "가정"), ("가나주사액", "가나"), ("AB-크림 <x>", "ab"), ("(가)", "(가)"), ("", ""), (None, None),
+    ]
+    check(spark, forms.family_stem, cases)
+    import hashlib
+
+    check(spark, lambda c: forms.family_key(c, "ns"), [("가나정", "family-" + hashlib.sha256("ns\0가나".encode()).hexdigest()[:20])])
+
+
+def test_role_values(spark):
+    check(spark, forms.role_value, [("1 / 2 정", 0.5), ("3/0", 3.0), ("약 1.5정", 1.5), ("없음", None), ("", None), (None, None)])
+
+
+def test_regimens(spark):
+    none = ([], None, None, False)
+    cases = [
+        ("오전 8시, 오후 8시 : 30 식후 복용", (["08:00", "20:30"], "after_meal", "oral", False)), ("AM 12 pm 12:05", (["00:00", "12:05"], None, None, False)),
+        ("복용시간 9:00 21:30 9:00", (["09:00", "21:30"], None, "oral", False)), ("9:00", none), ("오후 13시 오전 1:75", none), ("필요시 오전 8시 PRN", ([], None, None, True)),
+        ("□ 식후 □ 필요시", none), ("식전 또는 식후", none), ("공복 점안", ([], "empty_stomach", "ophthalmic", False)), ("XPRNX", none), ("", none), (None, none),
+    ]
+    check(spark, forms.regimen, cases)
