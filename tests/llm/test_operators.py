@@ -267,3 +267,28 @@ def test_pipeline_keeps_clean_documents_and_packs(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.filter("length > 4096").count() == 0 and out.select("doc_id").distinct().count() > 100
+
+
+def chained(a: list[str], b: list[str], anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    known = substring_dedup.WordHashes()
+    a, b = (substring_dedup.Shingled(known.of([w.encode() for w in x]), 5) for x in (a, b))
+    return substring_dedup.passages(a, b, anchors, 50, 5, 80)
+
+
+def test_passages_with_blocks_replaced_and_inserted(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    for size in range(4, 9):
+        p = fresh(160)
+        for q in (p[:80] + fresh(size) + p[80 + size :], p[:80] + fresh(size) + p[80:], p[:80] + p[80 + size :]):
+            for anchor in ((20, 30), (150, 150 + len(q) - 160 + 10)):
+                assert chained(p + fresh(40), fresh(10) + q, [anchor]) == [(0, 160, 10, 10 + len(q))]
+    p = fresh(100)
+    twice = [*p[:48], "x", *p[49:51], "y", *p[52:]]
+    inserted = p[:48] + fresh(4) + p[48:96]
+    cases = [(p, p[:48] + fresh(4) + p[52:]), (p, twice), (p[:96], inserted)]
+    for a, b in cases:
+        docs = [fresh(70) + a + fresh(30), fresh(9) + b + fresh(80)]
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+        found = {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df, functions=8).collect()}
+        assert found == {(0, 70, 70 + len(a)), (1, 9, 9 + len(b))}
