@@ -292,3 +292,25 @@ def test_passages_with_blocks_replaced_and_inserted(spark):
         df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
         found = {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df, functions=8).collect()}
         assert found == {(0, 70, 70 + len(a)), (1, 9, 9 + len(b))}
+
+
+def test_passages_beside_text_that_is_less_alike():
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    close, loose = fresh(91), fresh(84)
+    a = close + loose
+    b = [*close[:45], "edit", *close[46:], *(x if k % 7 else f"edit{k}" for k, x in enumerate(loose))]
+
+    def jaccard(x: list[str], y: list[str]) -> float:
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        return len(x & y) / len(x | y)
+
+    starts, ends = [0, 46], [45, 91, *range(98, 175, 7)]
+    widest = max(((e - s, s, e) for s in starts for e in ends if e - s >= 50 and jaccard(a[s:e], b[s:e]) >= 0.8))[1:]
+    for anchor in ((10, 10), (60, 60)):
+        found = chained(a, b, [anchor])
+        assert found and all(jaccard(a[s:e], b[u:v]) >= 0.8 and min(e - s, v - u) >= 50 for s, e, u, v in found)
+        assert found[0][0] == 0 and found[0][1] >= widest[1] and found[0][1] < 120
+    far = fresh(70)
+    mixed = chained(a + far, b + far, [(20, 20), (185, 185)])
+    assert mixed[0][0] == 0 and any(s <= 175 and e == 245 for s, e, *_ in mixed)
