@@ -314,3 +314,20 @@ def test_passages_beside_text_that_is_less_alike():
     far = fresh(70)
     mixed = chained(a + far, b + far, [(20, 20), (185, 185)])
     assert mixed[0][0] == 0 and any(s <= 175 and e == 245 for s, e, *_ in mixed)
+
+
+def test_passages_with_a_common_line_inside_are_all_found(spark):
+    rng = random.Random(15)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs, lines, want = [], [], set()
+    for _ in range(60):
+        line = fresh(48)
+        docs.append(fresh(20) + line + fresh(20))
+        lines.append(line)
+    for line in lines:
+        p = fresh(6) + line + fresh(6)
+        for _ in range(2):
+            want.add((len(docs), 15, 75))
+            docs.append(fresh(15) + p + fresh(15))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).collect()} == want
