@@ -13,21 +13,32 @@ from collections.abc import Callable
 
 
 class Memo(dict):
-    """Remembers results in two generations, so that its size is bounded and frequent keys stay."""
+    """Remembers results in two generations, so that its size is bounded and frequent keys stay.
 
-    def __init__(self, make: Callable, limit: int):
+    ``limit`` bounds the number of keys of a generation, or the sum of their ``size``; a key
+    of over a thousandth of it isn't kept.
+    """
+
+    def __init__(self, make: Callable, limit: int, size: Callable | None = None):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.size, self.held, self.old = make, limit, size, 0, {}
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        self.put(key, found)
+        return found
+
+    def put(self, key, found) -> None:
+        own = self.size(key) if self.size else 1
+        if own * 1000 > self.limit:
+            return
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += own
         self[key] = found
-        return found
 
 
 class PrefixEncoder:

@@ -1,20 +1,27 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
 Three machines are compiled from the model: the normaliser (white space mark
-for spaces, a dummy prefix), the lexicon of pieces, and byte fallback for
-characters that no piece covers. They are composed with each input; the
-encoding is the shortest path in the tropical semiring. For a unigram model a
-piece weighs its negative score. For a merge (BPE) model the composition also
-passes an acceptor over neighbouring pieces, which lets two pieces stand side
-by side only if merging their characters gives just them; one path through it
-remains for each text, and pieces weigh one.
+for spaces, a dummy prefix), the lexicon of pieces and byte fallback. The
+lexicon is a deterministic automaton over characters; each of its states has
+the arcs of the pieces that end there, longest first, and fallback is the arc
+of a state without any. Composing it with an input is one step a character,
+and the encoding is the shortest path in the tropical semiring: at each
+position the least sum of the weights of the arcs that lead there.
+
+For a unigram model a piece weighs its negative score. A merge (BPE) model
+isn't decided by sums of scores; there the composition also passes an acceptor
+over neighbouring pieces, which weighs nothing where merging the characters of
+two pieces gives just them, and else infinitely much. Of such paths one is left
+at each position (a prefix of an encoding is an encoding), so the first finite
+arc is the least.
 
 White space marks only begin pieces, so an input is cut before each run of them
-and the path of each part is remembered, up to a bound.
+and the path of each part is remembered, up to a bound in characters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -32,8 +39,54 @@ SPACE = "▁"
 FALLBACK = 1e6
 
 
+class Lexicon:
+    """The automaton of a set of pieces. State 0 is the start; ``arcs[s]`` has (length, id) of each piece that ends there."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.arcs: list[tuple[tuple[int, int], ...]] = [()]
+        self.fail = [0]
+        self.alphabet = set().union(*ids)
+        for piece, k in ids.items():
+            s = 0
+            for c in piece:
+                t = self.next[s].get(c)
+                if t is None:
+                    t = self.next[s][c] = len(self.next)
+                    self.next.append({})
+                    self.arcs.append(())
+                    self.fail.append(0)
+                s = t
+            self.arcs[s] = ((len(piece), k),)
+        wave = list(self.next[0].values())
+        while wave:  # by depth: a state's shorter endings are those of the longest other state that its text ends in
+            deeper = []
+            for s in wave:
+                self.arcs[s] += self.arcs[self.fail[s]]
+                for c, t in self.next[s].items():
+                    at = self.fail[s]
+                    while at and c not in self.next[at]:
+                        at = self.fail[at]
+                    self.fail[t] = self.next[at].get(c, 0)
+                    deeper.append(t)
+            wave = deeper
+
+    def step(self, s: int, c: str) -> int:
+        """The state after ``c``, kept so that the next time it is one look-up (unknown characters aren't kept)."""
+        at = s
+        while at and c not in self.next[at]:
+            at = self.fail[at]
+        t = self.next[at].get(c, 0)
+        if c in self.alphabet:
+            self.next[s][c] = t
+        return t
+
+
 class PieceTransducer:
-    def __init__(self, path: str, limit: int = 250_000):
+    #: Bits of an id in the key of a pair.
+    SHIFT = 24
+
+    def __init__(self, path: str, limit: int = 3_000_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -45,18 +98,25 @@ class PieceTransducer:
         self.dummy, self.plain = norm.add_dummy_prefix, norm.name == "identity" and not norm.remove_extra_whitespaces and norm.escape_whitespaces
         self.merges = model.trainer_spec.model_type == pb.TrainerSpec.BPE
         kinds = pb.ModelProto.SentencePiece
-        self.spelled = [p.piece for p in model.pieces]
-        self.kinds = [p.type for p in model.pieces]
+        self.unknown = model.trainer_spec.unk_id
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         self.score = [p.score for p in model.pieces]
+        self.spelled = [p.piece for p in model.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.unknown = model.trainer_spec.unk_id
-        self.longest = max(map(len, self.ids))
+        self.raw = [p.piece.encode("utf-8") for p in model.pieces]
+        self.raw[self.unknown] = " ⁇ ".encode()
+        for i, b in self.byte_of.items():
+            self.raw[i] = bytes([b])
+        self.weight = [1.0 if self.merges else -x for x in self.score]
+        self.lexicon = Lexicon(self.ids)
         cut = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut else "(?s).+")
-        self.pairs = Memo(self._stand, limit)
-        self.paths = Memo(self._single_path if self.merges else self._path, limit)
+        self.grown: dict[int, tuple] = {}
+        self.pairs = Memo(self._stand, 1_000_000)
+        self.packed = [array("I", [i]).tobytes() for i in range(len(self.spelled))]
+        self.length = [len(p) for p in self.spelled]
+        self.paths = Memo(self._path, limit, size=len)
 
     def normalised(self, text: str) -> str:
         if not self.plain:
@@ -64,79 +124,83 @@ class PieceTransducer:
         out = text.replace(" ", SPACE)
         return SPACE + out if self.dummy and out else out
 
-    def _stand(self, pair: tuple[str, str]) -> bool:
-        """Whether merging the characters of two pieces gives the two again."""
+    def _growth(self, k: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How the piece comes about by merging: what the next merge costs (its negative score), the
+        leftmost and the rightmost symbol, before each merge and at the end. None if merging doesn't give it."""
+        if k in self.grown:
+            return self.grown[k]
         ids, score = self.ids, self.score
-        symbols = [*pair[0], *pair[1]]
-        while len(symbols) > 2:
-            best = max(((score[k], -i) for i in range(len(symbols) - 1) if (k := ids.get(symbols[i] + symbols[i + 1])) is not None), default=None)
+        symbols, costs, left, right = [*self.spelled[k]], [], [], []
+        while len(symbols) > 1:
+            best = min(((-score[m], i) for i in range(len(symbols) - 1) if (m := ids.get(symbols[i] + symbols[i + 1])) is not None), default=None)
             if best is None:
+                break
+            costs.append(best[0])
+            left.append(symbols[0])
+            right.append(symbols[-1])
+            symbols[best[1] : best[1] + 2] = [symbols[best[1]] + symbols[best[1] + 1]]
+        whole = len(symbols) == 1
+        self.grown[k] = (([*costs, math.inf], [*left, symbols[0]], [*right, symbols[0]])) if whole else None
+        return self.grown[k]
+
+    def _stand(self, pair: int) -> bool:
+        """Whether merging the characters of two pieces gives the two again.
+
+        The two sides merge apart from each other, the cheaper merge first and of equals the left one, as
+        long as no merge over the boundary is cheaper.
+        """
+        a, b = self._growth(pair >> self.SHIFT), self._growth(pair & (1 << self.SHIFT) - 1)
+        if a is None or b is None:
+            return False
+        (costs, _, ends), (other, starts, _) = a, b
+        ids, score, i, j = self.ids, self.score, 0, 0
+        while True:
+            over = ids.get(ends[i] + starts[j])
+            if over is not None and -score[over] < costs[i] and -score[over] <= other[j]:
                 return False
-            i = -best[1]
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-        return symbols == list(pair) and (symbols[0] + symbols[1]) not in ids
-
-    def _single_path(self, part: str) -> bytes:
-        """The same for a merge model, whose acceptor leaves one state at each position."""
-        ids, pairs, longest = self.ids, self.pairs, self.longest
-        last, out, back = [""], [()], [0]
-        for i in range(1, len(part) + 1):
-            for j in range(max(0, i - longest), i):
-                piece = part[j:i]
-                k = ids.get(piece)
-                if k is not None and (not last[j] or pairs[last[j], piece]):
-                    last.append(piece)
-                    out.append((k,))
-                    back.append(j)
-                    break
-            else:  # no piece covers this character
-                raw = part[i - 1].encode("utf-8", "surrogatepass")
-                last.append("")
-                out.append(tuple(self.bytes[b] for b in raw) if self.bytes else (self.unknown,))
-                back.append(i - 1)
-        at, found = len(part), []
-        while at > 0:
-            found += reversed(out[at])
-            at = back[at]
-        return array("I", reversed(found)).tobytes()
+            if costs[i] <= other[j]:
+                i += 1
+            else:
+                j += 1
+            if i == len(costs) or j == len(other):
+                return True
+
+    def _fallback(self, c: str) -> bytes:
+        """The ids of a character that no path over pieces reaches."""
+        return array("I", (self.bytes[b] for b in c.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)).tobytes()
 
     def _path(self, part: str) -> bytes:
-        """Ids on the shortest path of one part, from a pass over positions; a state is a position and its last piece."""
-        ids, score, pairs = self.ids, self.score, self.pairs
-        states: list[dict[str, tuple]] = [{} for _ in range(len(part) + 1)]
-        states[0][""] = (0.0, -1, "", ())
-        for i in range(len(part)):
-            if not states[i]:
-                continue
-            reached = False
-            for j in range(i + 1, min(len(part), i + self.longest) + 1):
-                piece = part[i:j]
-                k = ids.get(piece)
-                if k is None:
-                    continue
-                reached = reached or j == i + 1
-                weight = 1.0 if self.merges else -score[k]
-                for last, (cost, *_) in states[i].items():
-                    if last and self.merges and not pairs[last, piece]:
-                        continue
-                    key = piece if self.merges else ""
-                    old = states[j].get(key)
-                    if old is None or cost + weight < old[0]:
-                        states[j][key] = (cost + weight, i, last, (k,))
-            if not reached:  # no piece covers this character alone
-                raw = part[i].encode("utf-8", "surrogatepass")
-                out = tuple(self.bytes[b] for b in raw) if self.bytes else (self.unknown,)
-                last, (cost, *_) = min(states[i].items(), key=lambda x: x[1][0])
-                old = states[i + 1].get("")
-                if old is None or cost + FALLBACK * len(raw) < old[0]:
-                    states[i + 1][""] = (cost + FALLBACK * len(raw), i, last, out)
-        at, last = len(part), min(states[-1], key=lambda x: states[-1][x][0])
-        found: list[int] = []
-        while at > 0:
-            _, before, prior, out = states[at][last]
-            found += reversed(out)
-            at, last = before, prior
-        return array("I", reversed(found)).tobytes()
+        """Ids on the shortest path of one part."""
+        forward, arcs, step = self.lexicon.next, self.lexicon.arcs, self.lexicon.step
+        pairs, weight, merges, shift = self.pairs, self.weight, self.merges, self.SHIFT
+        # of each position: the least weight and the last piece (-1 after fallback and at the start)
+        least, last = [0.0], [-1]
+        s = i = 0
+        for c in part:
+            i += 1
+            t = forward[s].get(c)
+            s = step(s, c) if t is None else t
+            cost, best = math.inf, -1
+            for length, k in arcs[s]:
+                if merges:  # the first finite one
+                    if (before := last[i - length]) < 0 or pairs[before << shift | k]:
+                        cost, best = least[i - length] + 1.0, k
+                        break
+                elif (other := least[i - length] + weight[k]) < cost:
+                    cost, best = other, k
+            least.append(cost if best >= 0 else least[-1] + FALLBACK * len(c.encode("utf-8", "surrogatepass")))
+            last.append(best)
+        packed, length, found = self.packed, self.length, []
+        while i:
+            k = last[i]
+            if k >= 0:
+                found.append(packed[k])
+                i -= length[k]
+            else:
+                i -= 1
+                found.append(self._fallback(part[i]))
+        found.reverse()
+        return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit values; none for null or empty text."""
@@ -144,10 +208,7 @@ class PieceTransducer:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the machines run backward."""
-        out: list[bytes] = []
-        for k in array("I", ids):
-            out.append(bytes([self.byte_of[k]]) if k in self.byte_of else self.spelled[k].encode("utf-8") if k != self.unknown else " ⁇ ".encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, array("I", ids))).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 

@@ -94,7 +94,38 @@ def test_sentencepieces_equal_the_library():
     for t in ["", " ", "  a   b ", "a" * 40, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(1500))]:
         assert array("I", m.encode(t)).tolist() == lib.encode(t)
         assert m.decode(m.encode(t)) == lib.decode(lib.encode(t))
-        assert all(m._path(x) == m._single_path(x) for x in m.parts.findall(m.normalised(t)))
+
+
+def test_unigram_models_take_the_path_of_least_weight(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng, model, kinds = random.Random(21), pb.ModelProto(), pb.ModelProto.SentencePiece
+    with open(PIECES, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for p in model.pieces:
+        if p.type == kinds.NORMAL:
+            p.score = -rng.uniform(1, 9) * len(p.piece) ** 0.5
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    m, lib = sentencepieces.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for _ in range(400):
+        t = "".join(rng.choice("abcdefgh ththeein") for _ in range(rng.randint(1, 30)))
+        assert array("I", m.encode(t)).tolist() == lib.encode(t)
+
+
+def test_sentencepiece_query_equals_the_library(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    got = QUERIES["op9_sentencepiece"](spark, f"{DATA}/sf0.01").collect()
+    assert len(got) == len(docs)
+    low = lib.piece_to_id("<0x00>")
+    for r in got:
+        ids = lib.encode(docs[r.doc_id])
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(array("I", ids).tobytes()))
+        assert r.n_fallback == sum(low <= k < low + 256 for k in ids)
+        assert r.round_trip == (lib.decode(ids) == docs[r.doc_id])
 
 
 def shingles(text, n):
