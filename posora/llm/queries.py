@@ -13,7 +13,7 @@ from .jaccard_join import jaccard_classes
 from .language_id import fit, predict
 from .packing import packed_documents
 from .quality import quality_rules
-from .secret_scan import scan
+from .secret_scan import scan_secrets
 from .sentencepieces import encoded
 from .shared import table
 from .sharding import shard_by_bytes
@@ -51,7 +51,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
