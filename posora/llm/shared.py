@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,22 +64,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """word bytes -> 64-bit hash, with a bounded number of remembered words."""
+    """word bytes -> 64-bit hash, with a bounded number of remembered bytes."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 4_000_000):
         super().__init__()
-        self.limit = limit
+        self.limit, self.held = limit, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 256:
+            if self.held >= self.limit:
+                self.clear()
+                self.held = 0
+            self.held += len(word)
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
+    def of_text(self, text: str | None, part: int = 1 << 22) -> np.ndarray:
+        """The hashes of a text's lower-cased words; a long text is split into words part by part."""
+        if not text:
+            return np.empty(0, np.uint64)
+        raw = text.encode("utf-8", "surrogatepass").lower()
+        if len(raw) <= part:
+            return self.of(raw.split())
+        found, at = [], 0
+        while at < len(raw):
+            gap = _GAP.search(raw, at + part)
+            end = gap.start() if gap else len(raw)
+            found.append(self.of(raw[at:end].split()))
+            at = end
+        return np.concatenate(found)
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,3 +153,8 @@ def summed(parts: DataFrame, dtype: str = "int64", fan: int = 16) -> dict[str, n
     first = parts.withColumn("_at", F.pmod(F.xxhash64("vec"), F.lit(fan))).repartition(fan, "_at").select("key", "vec").mapInPandas(add, "key string, vec binary")
     last = first.repartition(4, "key").mapInPandas(add, "key string, vec binary")
     return {r["key"]: np.frombuffer(r["vec"], dtype) for r in last.collect()}
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``doc``, so that names of an operator's own can't clash with theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
