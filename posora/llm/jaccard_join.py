@@ -1,16 +1,18 @@
 """Exact n-gram Jaccard join and its connected classes.
 
-Shingles have one global order: rare first, by a fixed-size table of counts over
-the whole corpus, then by hash. Two sets that reach the threshold share one of
-the first few shingles of each (the prefix), so documents meet on prefix
-shingles. Pairs must pass the length filter, the positional filter and the
-suffix filter (a lower bound on what the sets can't share, from 256-bit parity
-summaries), and each pair left is verified once on the whole texts.
+Shingles have one global order: rare first, by a table of counts over the whole
+corpus, then by hash. Two sets that reach the threshold share one of the first
+few shingles of each (the prefix), so documents meet on prefix shingles. Pairs
+must pass the length filter, the positional filter and the suffix filter (a
+lower bound on what the sets can't share, from parity summaries whose size goes
+with the set's), and each pair left is verified once on the whole texts.
 
 Equal sets are one entry. Dense groups don't become all pairs: documents that
 share a shingle are first held against one of them, in a few rounds whose
 work is linear in the entries; only pairs that still lie in different classes
-are then listed in full, so no link between classes is missed.
+are then listed in full, so no link between classes is missed. A pair is listed
+where it first meets: an entry goes to its shingle's bucket with the few shared
+shingles before it, and two entries that have one of these in common have met there.
 """
 
 from __future__ import annotations
@@ -24,25 +26,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, WordHashes, lower_words, summed, vectors, windows
+from .shared import Scratch, WordHashes, summed, vectors, windows
 
-#: Bits of a shingle's place in the table of counts.
-COUNT_BITS = 18
+#: Bits of a shingle's place in the table of counts: as many as the documents need, in these bounds (16 MB at most).
+COUNT_BITS = (18, 22)
+#: Shared shingles before one that go with it in the last round.
+BEFORE = 8
 #: Rounds in which documents are held against one of their bucket.
 ROUNDS = 2
 
 
 def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of the lower-cased words."""
-    return np.unique(windows(known.of(lower_words(text)), n))
+    return np.unique(windows(known.of_text(text), n))
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the number of shingles that fall on it."""
-    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def parity_bits(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Bits (in 64s), each the parity of the number of shingles that fall on it; about ten for each
+    shingle by which two sets of this size may differ, in a power of two, 256 at least."""
+    apart = 2 * len(shingles) * (100 - percent) / (100 + percent)
+    size = max(256, 1 << int(np.ceil(np.log2(max(1.0, 10 * apart)))))
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def least_apart(a: F.Column, b: F.Column) -> F.Column:
+    """At least so many shingles are in one of two sets alone, from their parities; the longer summary is folded to the shorter."""
+    size = F.least(F.size(a), F.size(b))
+
+    def folded(x: F.Column) -> F.Column:
+        return F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, x: n + x)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -59,13 +76,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     scratch = scratch or Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    count_bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()))) + 2, *COUNT_BITS))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
-        at = np.uint64(64 - COUNT_BITS)
+        known, counts = WordHashes(), np.zeros(1 << count_bits, np.int32)
+        at = np.uint64(64 - count_bits)
         for pdf in batches:
             sets = [shingle_set(t, n, known) for t in pdf["text"]]
-            counts += np.bincount((np.concatenate(sets) >> at).astype(np.int64), minlength=1 << COUNT_BITS)
+            places, times = np.unique((np.concatenate(sets) >> at).astype(np.int64), return_counts=True)
+            counts[places] += times.astype(np.int32)
             both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "sig": pd.Series(both, pdf.index, object), "key": pd.Series([None] * len(pdf), pdf.index, object), "vec": pd.Series([None] * len(pdf), pdf.index, object)})
         part = vectors({"counts": counts})
@@ -73,8 +92,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     first = scratch.save(rows.mapInPandas(summarise, f"id {kind}, n long, sig binary, key string, vec binary"))
     sets = first.filter("key is null").select("id", "n", "sig")
-    counted = summed(first.filter("key is not null").select("key", "vec")).get("counts", np.zeros(1 << COUNT_BITS, np.int64))
-    order = spark.sparkContext.broadcast(np.argsort(np.argsort(counted, kind="stable"), kind="stable").astype(np.uint64))  # 2 MB, whatever the input
+    counted = summed(first.filter("key is not null").select("key", "vec"), "int32").get("counts", np.zeros(1 << count_bits, np.int32))
+    order = spark.sparkContext.broadcast(np.argsort(np.argsort(counted, kind="stable"), kind="stable").astype(np.uint32))  # 16 MB at most
 
     worded = sets.filter("n > 0 and id is not null")
     classes = worded.groupBy("sig").agg(F.min("id").alias("rep"))
@@ -82,27 +101,26 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, place = WordHashes(), order.value
-        at, low = np.uint64(64 - COUNT_BITS), np.uint64((1 << 64 - COUNT_BITS) - 1)
+        at, low = np.uint64(64 - count_bits), np.uint64((1 << 64 - count_bits) - 1)
         for pdf in batches:
             ids, ns, heads, bits = [], [], [], []
             for i, t in zip(pdf["id"], pdf["text"], strict=True):
                 s = shingle_set(t, n, known)
                 if len(s):
                     p = prefix_length(len(s), percent)
-                    ranked = place[(s >> at).astype(np.int64)] << at | s & low
+                    ranked = place[(s >> at).astype(np.int64)].astype(np.uint64) << at | s & low
                     ids.append(i)
                     ns.append(len(s))
                     heads.append(np.sort(np.partition(ranked, p - 1)[:p]).view(np.int64))
-                    bits.append(parity_bits(s))
+                    bits.append(parity_bits(s, percent))
             if ids:
-                b = np.stack(bits)
-                yield pd.DataFrame({"id": ids, "n": ns, "head": heads, **{f"b{k}": b[:, k] for k in range(4)}})
+                yield pd.DataFrame({"id": ids, "n": ns, "head": heads, "bits": bits})
 
-    heads = rows.filter(F.col("id").isNotNull()).mapInPandas(prefixes, f"id {kind}, n int, head array<long>, b0 long, b1 long, b2 long, b3 long")
+    heads = rows.filter(F.col("id").isNotNull()).mapInPandas(prefixes, f"id {kind}, n int, head array<long>, bits array<long>")
     entries = scratch.save(heads.join(reps, "id", "left_semi"))
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
-    exploded = entries.withColumn("band", bands).select("id", "n", "band", F.posexplode("head").alias("pos", "token"))
-    bits = entries.select("id", *(f"b{k}" for k in range(4)))
+    tokens = entries.withColumn("band", bands).select("id", "n", "band", F.posexplode("head").alias("pos", "token")).withColumn("c", F.col("id"))
+    ends = entries.select("id", "n", "bits")
 
     def needed(a: str, b: str) -> F.Column:
         return F.ceil(F.lit(percent) * (F.col(f"{a}.n") + F.col(f"{b}.n")) / F.lit(100.0 + percent) - 1e-9)
@@ -113,10 +131,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         length = (100 * na >= percent * nb) & (100 * nb >= percent * na)
         return length & (F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1) >= needed(a, b))
 
-    def alike(a: str, b: str) -> F.Column:
-        """The suffix filter: at least so many shingles are in one set alone."""
-        apart = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
-        return F.col(f"{a}.n") + F.col(f"{b}.n") - apart >= 2 * needed(a, b)
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The suffix filter."""
+        both = pairs.join(ends.alias("p"), F.col("a") == F.col("p.id")).join(ends.alias("q"), F.col("b") == F.col("q.id"))
+        return both.filter(F.col("p.n") + F.col("q.n") - least_apart(F.col("p.bits"), F.col("q.bits")) >= 2 * needed("p", "q")).select("a", "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held_id, held = WordHashes(), None, None
@@ -131,8 +149,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             yield pdf.loc[keep, ["a", "b"]]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ta, tb = rows.select(F.col("id").alias("a"), F.col("text").alias("ta")), rows.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        return scratch.save(pairs.join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}").distinct())
+        # only texts of the pairs' documents are dealt; where these are few Spark broadcasts their ids
+        own = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = rows.join(own, "id", "left_semi")
+        ta, tb = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+        out = scratch.save(pairs.join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}").distinct())
+        scratch.drop(own)
+        return out
 
     labels: DataFrame | None = None
     seen: DataFrame | None = None
@@ -149,12 +172,25 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         fresh = joined.join(labels.select("id"), "id", "left_anti")
         return scratch.save(old.union(fresh))
 
-    tokens = exploded.withColumn("c", F.col("id"))
+    def listed(tokens: DataFrame) -> DataFrame:
+        """All pairs of different classes that share a token and pass the filters, each where it first meets."""
+        alive = tokens.groupBy("id", "n", "band", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
+        each = alive.select("id", "n", "band", "c", "own", F.posexplode("own").alias("k", "at"))
+        each = each.select("id", "n", "band", "c", F.col("at.pos").alias("pos"), F.col("at.token").alias("token"), F.expr(f"transform(slice(own, greatest(k - {BEFORE}, 0) + 1, least(k, {BEFORE})), x -> x.token)").alias("before"))
+        # sets of like length are in one band or in neighbouring ones
+        other = each.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("below"))
+        x, y = each.alias("x"), other.alias("y")
+        apart = F.when(F.col("y.below") == 0, F.col("x.c") < F.col("y.c")).otherwise(F.col("x.c") != F.col("y.c"))
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & apart & near("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
+        return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
     for r in range(rounds + 1):
         if r:
-            ends = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
-            tokens = tokens.join(ends, "token", "left_semi")
-            tokens = scratch.save(tokens)
+            open_ = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
+            kept = scratch.save(tokens.join(open_, "token", "left_semi"))
+            if r > 1:
+                scratch.drop(held)
+            tokens = held = kept
         if r < rounds:
             # the bucket's first document, then one drawn anew for each bucket and round
             draw = F.struct("id", "n", "pos") if not r else F.struct(F.xxhash64("id", "token", F.lit(r)).alias("draw"), "id", "n", "pos", "c")
@@ -162,13 +198,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             hubs = hubs.select("token", "band", "hub.*") if r else hubs.select("token", "band", "hub.*", F.col("hub.id").alias("c"))
             met = tokens.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & near("x", "y"))
             met = met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-            ends = entries.select("id", "n", *(f"b{k}" for k in range(4)))
-            pairs = met.join(ends.alias("p"), F.col("a") == F.col("p.id")).join(ends.alias("q"), F.col("b") == F.col("q.id")).filter(alike("p", "q")).select("a", "b")
         else:
-            full = tokens.join(bits, "id")
-            pairs = full.alias("x").join(full.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & near("x", "y") & alike("x", "y"))
-            pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(seen, ["a", "b"], "left_anti") if seen is not None else pairs)
+            met = listed(tokens)
+        if seen is not None:
+            met = met.join(seen, ["a", "b"], "left_anti")
+        pairs = scratch.save(alike(met))
         if not pairs.isEmpty():
             labels = relabelled(verified(pairs))
             seen = pairs if seen is None else seen.union(pairs)
