@@ -32,8 +32,9 @@ from .shared import Scratch, WordHashes, summed, vectors, windows
 COUNT_BITS = (18, 22)
 #: Shared shingles before one that go with it in the last round.
 BEFORE = 8
-#: Rounds in which documents are held against one of their bucket.
-ROUNDS = 2
+#: Rounds at most in which documents are held against one of their bucket; they end earlier when so few pairs
+#: for each entry are left to be listed.
+ROUNDS, FEW = 5, 2
 
 
 def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
@@ -114,9 +115,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                     heads.append(np.sort(np.partition(ranked, p - 1)[:p]).view(np.int64))
                     bits.append(parity_bits(s, percent))
             if ids:
-                yield pd.DataFrame({"id": ids, "n": ns, "head": heads, "bits": bits})
+                few = np.stack([np.bitwise_xor.reduce(b.reshape(-1, 4)) for b in bits])
+                yield pd.DataFrame({"id": ids, "n": ns, "head": heads, "bits": bits, **{f"b{k}": few[:, k] for k in range(4)}})
 
-    heads = rows.filter(F.col("id").isNotNull()).mapInPandas(prefixes, f"id {kind}, n int, head array<long>, bits array<long>")
+    heads = rows.filter(F.col("id").isNotNull()).mapInPandas(prefixes, f"id {kind}, n int, head array<long>, bits array<long>, b0 long, b1 long, b2 long, b3 long")
     entries = scratch.save(heads.join(reps, "id", "left_semi"))
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
     tokens = entries.withColumn("band", bands).select("id", "n", "band", F.posexplode("head").alias("pos", "token")).withColumn("c", F.col("id"))
@@ -177,38 +179,47 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         alive = tokens.groupBy("id", "n", "band", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
         each = alive.select("id", "n", "band", "c", "own", F.posexplode("own").alias("k", "at"))
         each = each.select("id", "n", "band", "c", F.col("at.pos").alias("pos"), F.col("at.token").alias("token"), F.expr(f"transform(slice(own, greatest(k - {BEFORE}, 0) + 1, least(k, {BEFORE})), x -> x.token)").alias("before"))
+        each = each.join(entries.select("id", *(f"b{k}" for k in range(4))), "id")
         # sets of like length are in one band or in neighbouring ones
         other = each.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("below"))
         x, y = each.alias("x"), other.alias("y")
         apart = F.when(F.col("y.below") == 0, F.col("x.c") < F.col("y.c")).otherwise(F.col("x.c") != F.col("y.c"))
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & apart & near("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
+        bits = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(1, 4)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+        close = F.col("x.n") + F.col("y.n") - bits >= 2 * needed("x", "y")  # the suffix filter by 256 bits; all bits follow for each pair
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & apart & near("x", "y") & ~F.arrays_overlap("x.before", "y.before") & close)
         return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
-    for r in range(rounds + 1):
+    n_entries, last, r = entries.count(), rounds == 0, 0
+    while True:
         if r:
             open_ = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
             kept = scratch.save(tokens.join(open_, "token", "left_semi"))
             if r > 1:
                 scratch.drop(held)
             tokens = held = kept
-        if r < rounds:
+            pairs_left = tokens.groupBy("token", "band").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1.0) / 2)).first()[0] or 0
+            last = r >= rounds or (r > 1 and pairs_left <= FEW * n_entries)
+        if last:
+            met = listed(tokens)
+        else:
             # the bucket's first document, then one drawn anew for each bucket and round
             draw = F.struct("id", "n", "pos") if not r else F.struct(F.xxhash64("id", "token", F.lit(r)).alias("draw"), "id", "n", "pos", "c")
             hubs = tokens.groupBy("token", "band").agg(F.min(draw).alias("hub"), F.count("*").alias("size")).filter("size > 1")
             hubs = hubs.select("token", "band", "hub.*") if r else hubs.select("token", "band", "hub.*", F.col("hub.id").alias("c"))
             met = tokens.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & near("x", "y"))
             met = met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        else:
-            met = listed(tokens)
         if seen is not None:
             met = met.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.save(alike(met))
         if not pairs.isEmpty():
             labels = relabelled(verified(pairs))
             seen = pairs if seen is None else seen.union(pairs)
-        if r < rounds and labels is not None:
+        if last:
+            break
+        if labels is not None:
             named = labels.select("id", F.col("component").alias("_c"))
             tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
+        r += 1
     if labels is None:
         labels = spark.createDataFrame([], f"id {kind}, component {kind}")
     named = classes.join(labels, F.col("rep") == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id"))

@@ -362,3 +362,24 @@ def test_passages_with_a_common_line_inside_are_all_found(spark):
             docs.append(fresh(15) + p + fresh(15))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
     assert {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).collect()} == want
+
+
+def test_look_alikes_under_the_threshold_are_listed_once(spark):
+    rng = random.Random(31)
+    common = [f"c{k}" for k in range(80)]
+    rows = [(i, " ".join(common[:60] + [f"w{rng.randint(0, 10**9)}" for _ in range(12)] + common[60:])) for i in range(600)]
+    rows += [(600 + i, rows[i][1] + " tail") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs, 3, 90, rounds=1).collect()}
+    assert all(out[i] == i for i in range(600)) and all(out[600 + i] == i for i in range(40))
+
+
+def test_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(11)
+    for n, m in ((100, 120), (900, 1000), (4200, 5000)):
+        both = rng.integers(0, 2**63, n - 40, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k - n + 40, dtype=np.uint64)])) for k in (n, m))
+        x, y = jaccard_join.parity_bits(a, 80).tolist(), jaccard_join.parity_bits(b, 80).tolist()
+        got = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(jaccard_join.least_apart(F.col("x"), F.col("y")).alias("d")).first().d
+        apart = len(np.setxor1d(a, b))
+        assert got <= apart and (apart > 300 or got >= 0.6 * apart)
