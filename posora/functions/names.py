@@ -108,8 +108,9 @@ def moiety_name(c: Column) -> Column:
 
 
 def digest_id(prefix: str, length: int, *parts: Column) -> Column:
-    """prefix_ and the first `length` upper-case hex digits of the SHA-256 of the parts, joined by NUL."""
-    return F.concat(F.lit(prefix + "_"), F.upper(F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, length)))
+    """prefix_ and the first `length` upper-case hex digits of the SHA-256 of the parts, joined by NUL; null if a part is."""
+    joined = F.concat(*(x for p in parts for x in (F.lit("\0"), p.cast("string"))))
+    return F.concat(F.lit(prefix + "_"), F.upper(F.substring(F.sha2(F.substring(joined, F.lit(2), F.length(joined)), 256), 1, length)))
 
 
 def set_signature(c: Column) -> Column:
