@@ -32,9 +32,8 @@ from .shared import Scratch, WordHashes, summed, vectors, windows
 COUNT_BITS = (18, 22)
 #: Shared shingles before one that go with it in the last round.
 BEFORE = 8
-#: Rounds at most in which documents are held against one of their bucket; they end earlier when so few pairs
-#: for each entry are left to be listed.
-ROUNDS, FEW = 5, 2
+#: Rounds in which documents are held against one of their bucket.
+ROUNDS = 2
 
 
 def shingle_set(text: str | None, n: int, known: WordHashes) -> np.ndarray:
@@ -84,8 +83,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         at = np.uint64(64 - count_bits)
         for pdf in batches:
             sets = [shingle_set(t, n, known) for t in pdf["text"]]
-            places, times = np.unique((np.concatenate(sets) >> at).astype(np.int64), return_counts=True)
-            counts[places] += times.astype(np.int32)
+            for s in sets:
+                np.add.at(counts, (s >> at).astype(np.int64), 1)
             both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "sig": pd.Series(both, pdf.index, object), "key": pd.Series([None] * len(pdf), pdf.index, object), "vec": pd.Series([None] * len(pdf), pdf.index, object)})
         part = vectors({"counts": counts})
@@ -189,17 +188,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & apart & near("x", "y") & ~F.arrays_overlap("x.before", "y.before") & close)
         return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
-    n_entries, last, r = entries.count(), rounds == 0, 0
-    while True:
+    for r in range(rounds + 1):
         if r:
             open_ = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
             kept = scratch.save(tokens.join(open_, "token", "left_semi"))
             if r > 1:
                 scratch.drop(held)
             tokens = held = kept
-            pairs_left = tokens.groupBy("token", "band").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1.0) / 2)).first()[0] or 0
-            last = r >= rounds or (r > 1 and pairs_left <= FEW * n_entries)
-        if last:
+        if r == rounds:
             met = listed(tokens)
         else:
             # the bucket's first document, then one drawn anew for each bucket and round
@@ -214,12 +210,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         if not pairs.isEmpty():
             labels = relabelled(verified(pairs))
             seen = pairs if seen is None else seen.union(pairs)
-        if last:
-            break
-        if labels is not None:
+        if r < rounds and labels is not None:
             named = labels.select("id", F.col("component").alias("_c"))
             tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
-        r += 1
     if labels is None:
         labels = spark.createDataFrame([], f"id {kind}, component {kind}")
     named = classes.join(labels, F.col("rep") == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
