@@ -1,13 +1,18 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, exact reranking.
 
 Several rotations, each learnt for balanced binary codes, give each vector one
-code for each; every code is cut into chunks, and each chunk is a table.
-Vectors that agree in a chunk, or differ in one bit of it, are candidates. A
-pair belongs to the first table in which it meets, so each is compared once
-and nothing has to be made distinct. Buckets are cut into blocks of bounded
-size, pairs of blocks are compared as matrices in double precision, and only
-sums of links and spanning edges leave a block. Equal vectors are compared as
-one and counted with their number.
+code for each; the codes are cut into chunks, and each chunk is a table.
+Vectors that agree in a chunk, or differ in one bit of it, are candidates. The
+chunks widen with the number of vectors, so that buckets stay small, and the
+wider they are the more tables are taken: so many that pairs at the threshold,
+made from the sample, meet in one of them nearly always (RECALL). A pair belongs
+to the first table in which it meets, so each is compared once and nothing has
+to be made distinct. Tables hold codes alone; vectors go once to the blocks that
+compare them: buckets are cut into blocks of bounded size, pairs of blocks are
+compared as matrices in double precision, and only sums of links and spanning
+edges leave a block. Equal vectors are compared as one and counted with their
+number. Vectors of each length are a search of their own; lengths that few
+vectors have are compared in blocks without tables.
 """
 
 from __future__ import annotations
@@ -22,13 +27,17 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import Scratch
 
-#: Rows that rotations are learnt from, whatever the input.
+#: Rows that rotations are learnt from, for each length and whatever the input.
 SAMPLE = 4096
-ROTATIONS, ITERATIONS = 3, 30
+ITERATIONS, ROTATIONS = 30, 24
+#: The share of pairs at the threshold that must meet, as measured on mates of the sample.
+RECALL = 0.985
+#: Lengths of so few vectors, and lengths beyond so many, have no tables.
+FEW, LENGTHS = 2048, 64
 #: Vectors of a block, and rows of blocks that one call compares.
-BLOCK, ROWS = 256, 6000
+BLOCK, ROWS = 1024, 6000
 
-KEYS = ["table", "a", "b", "i", "j"]
+KEYS = ["dims", "table", "a", "b", "i", "j"]
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +65,62 @@ def chunk_values(bits: np.ndarray, width: int) -> np.ndarray:
     return bits[:, : n * width].reshape(len(bits), n, width) @ (1 << np.arange(width, dtype=np.int64))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; neither overflow nor underflow on the way."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def mates(x: np.ndarray, cosine: float, seed: int) -> np.ndarray:
+    """For each unit vector one at the given cosine, in a random direction."""
+    off = np.random.default_rng(seed).normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine * cosine) * off / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-300)
+
+
+def meetings(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """In which tables (columns) the rows of two arrays of bits meet."""
+    diff = chunk_values(a, width) ^ chunk_values(b, width)
+    return (diff & (diff - 1)) == 0
+
+
+class Index:
+    """Rotations, the width of chunks and the number of tables for ``n`` vectors like those of the sample."""
+
+    def __init__(self, sample: np.ndarray, n: int, threshold: float, width: int | None = None):
+        learnt, dims = unit(sample[::2]), sample.shape[1]
+        x = unit(sample[1::2])  # measured on others than learnt from
+        y = mates(x, threshold, 99)
+        self.models: list[tuple[np.ndarray, np.ndarray]] = []
+        self.width = width or int(np.clip(np.ceil(np.log2(max(2, n))) + 4, 6, 40))
+        a = b = np.empty((len(x), 0), bool)
+        while True:
+            met = np.logical_or.accumulate(meetings(a, b, self.width), 1).mean(0) if a.shape[1] >= self.width else np.empty(0)
+            enough = np.flatnonzero(met >= RECALL)
+            if len(enough):
+                self.tables = int(enough[0]) + 1
+                break
+            if len(self.models) < ROTATIONS:
+                self.models.append(learn_rotation(learnt, min(64, dims), len(self.models)))
+                a, b = (np.concatenate([old, codes(v, self.models[-1:])], 1) for old, v in ((a, x), (b, y)))
+            elif self.width > 4:
+                self.width -= 2  # larger buckets rather than lost pairs
+            else:
+                self.tables = a.shape[1] // self.width
+                break
+        self.models = self.models[: -(-self.tables * self.width // min(64, dims))]
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return chunk_values(codes(unit(x), self.models), self.width)[:, : self.tables]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", chunk: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_links, component_id, kept) of each row.
 
-    Pairs of cosine at least ``threshold`` link. Vectors that are null, zero or
-    not finite, or of another length than most of the sample, link with
-    nothing; so do rows with a null id, which get a null component. An empty
-    table gives no rows. Repeated ids count as further vectors.
+    Pairs of cosine at least ``threshold`` link; vectors of different lengths have none. Vectors that are null, empty,
+    zero or not finite link with nothing; so do rows with a null id, which get a null component. An empty
+    table gives no rows. Repeated ids count as further vectors, equal vectors all link with each other. Other
+    columns of ``vectors`` aren't read.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
@@ -70,78 +128,72 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = rows.filter(F.col("id").isNotNull() & fine)
-    copies = scratch.save(sound.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    sample = [r["v"] for r in copies.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()]
-    n = copies.count()
+    copies = scratch.save(sound.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dims", F.size("v")))
+    lengths = copies.groupBy("dims").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).orderBy(F.desc("n"), "dims").limit(LENGTHS).collect()
+    indexes: dict[int, Index] = {}
+    for r in lengths:
+        picked = copies.filter(F.col("dims") == r["dims"]).select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
+        indexes[r["dims"]] = Index(np.array([p["v"] for p in picked]), r["n"], threshold, chunk)
     empty = spark.createDataFrame([], f"id {kind}, n long")
-    if n > 1:
-        dims = pd.Series([len(v) for v in sample]).mode()[0]
-        x = np.array([v for v in sample if len(v) == dims])
-        x /= np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(1, keepdims=True)
-        rotations = max(ROTATIONS, -(-96 // dims))
-        models = [learn_rotation(x, min(64, dims), s) for s in range(rotations)]
-        # chunks grow with the table, so that vectors which are not alike seldom share one
-        width = chunk or int(np.clip(np.ceil(np.log2(max(2, n))) + 4, 6, 28))
-        shared = spark.sparkContext.broadcast((models, width, dims))
+    if not copies.isEmpty():
+        shared = spark.sparkContext.broadcast(indexes)  # at most LENGTHS * ROTATIONS square matrices
 
         def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            models, width, dims = shared.value
             for pdf in batches:
-                pdf = pdf[pdf["v"].map(len) == dims]
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["v"].to_numpy())
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                values = chunk_values(codes(x, models), width)
-                for t in range(values.shape[1]):
-                    yield pd.DataFrame({"table": t, "value": values[:, t], "rep": pdf["rep"].to_numpy(), "copies": pdf["copies"].to_numpy(), "x": list(x), "values": list(values)})
-
-        entries = scratch.save(copies.mapInPandas(encode, f"table int, value long, rep {kind}, copies long, x array<double>, values array<long>"))
+                for dims, part in pdf.groupby("dims"):
+                    index = shared.value.get(dims)
+                    values = index.values(np.stack(part["v"].to_numpy())) if index else np.zeros((len(part), 1), np.int64)
+                    for t in range(values.shape[1]):
+                        yield pd.DataFrame({"dims": dims, "table": t, "value": values[:, t], "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "values": list(values)})
+
+        entries = scratch.save(copies.mapInPandas(encode, f"dims int, table int, value long, rep {kind}, copies long, values array<long>"))
         # each entry is in its own bucket and looks into those one bit away; of two such buckets only the pair (less, greater) is compared
-        sizes = entries.groupBy("table", "value").agg(F.count("*").alias("n"))
-        probes = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(width)])
+        bucket = ["dims", "table", "value"]
+        sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n"))
+        widths = spark.createDataFrame([(d, x.width) for d, x in indexes.items()], "dims int, width int")  # at most LENGTHS
+        flips = F.when(F.col("width") > 0, F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)))
         pairs = scratch.save(
-            sizes.select("table", F.col("value").alias("a"), "n", F.explode(probes).alias("flip"))
+            sizes.join(F.broadcast(widths), "dims", "left")
+            .select("dims", "table", F.col("value").alias("a"), "n", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce(flips, F.array().cast("array<bigint>")))).alias("flip"))
             .withColumn("b", F.col("a").bitwiseXOR(F.col("flip")))
             .filter("a <= b")
-            .join(sizes.select("table", F.col("value").alias("b"), F.col("n").alias("m")), ["table", "b"])
+            .join(sizes.select("dims", "table", F.col("value").alias("b"), F.col("n").alias("m")), ["dims", "table", "b"])
             .filter("a < b or n > 1")
         )
         # a bucket pair is cut into pairs of blocks; every row goes to the blocks it takes part in
         cut = pairs.withColumn("na", F.ceil(F.col("n") / BLOCK)).withColumn("nb", F.ceil(F.col("m") / BLOCK))
         own = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
-        side_a = entries.join(cut.withColumnRenamed("a", "value"), ["table", "value"]).withColumn("i", own % F.col("na")).withColumn("j", F.explode(F.sequence(F.when(F.col("value") == F.col("b"), F.col("i")).otherwise(F.lit(0).cast("long")), F.col("nb") - 1)))
-        side_b = entries.join(cut.filter("a < b").withColumnRenamed("b", "value"), ["table", "value"]).withColumn("j", own % F.col("nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
-        same = entries.join(cut.filter("a = b and na > 1").select("table", F.col("a").alias("value"), "a", "b", "na", "nb"), ["table", "value"]).withColumn("j", own % F.col("nb")).filter("j > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j") - 1)))
-        fields = ["rep", "copies", "x", "values"]
+        side_a = entries.join(cut.withColumnRenamed("a", "value"), bucket).withColumn("i", own % F.col("na")).withColumn("j", F.explode(F.sequence(F.when(F.col("value") == F.col("b"), F.col("i")).otherwise(F.lit(0).cast("long")), F.col("nb") - 1)))
+        side_b = entries.join(cut.filter("a < b").withColumnRenamed("b", "value"), bucket).withColumn("j", own % F.col("nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
+        same = entries.join(cut.filter("a = b and na > 1").select("dims", "table", F.col("a").alias("value"), "a", "b", "na", "nb"), bucket).withColumn("j", own % F.col("nb")).filter("j > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j") - 1)))
+        fields = ["rep", "copies", "values"]
         blocks = (
-            side_a.select("table", F.col("value").alias("a"), "b", "i", "j", F.lit(0).alias("side"), *fields)
-            .union(side_b.select("table", "a", F.col("value").alias("b"), "i", "j", F.lit(1).alias("side"), *fields))
-            .union(same.select("table", "a", "b", "i", "j", F.lit(1).alias("side"), *fields))
+            side_a.select("dims", "table", F.col("value").alias("a"), "b", "i", "j", F.lit(0).alias("side"), *fields)
+            .union(side_b.select("dims", "table", "a", F.col("value").alias("b"), "i", "j", F.lit(1).alias("side"), *fields))
+            .union(same.select("dims", "table", "a", "b", "i", "j", F.lit(1).alias("side"), *fields))
         )
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(KEYS, ignore_index=True)
             keys = pdf[KEYS].to_numpy()
-            x, values = np.stack(pdf["x"].to_numpy()), np.stack(pdf["values"].to_numpy())
-            rep, copies, side = (pdf[c].to_numpy() for c in ("rep", "copies", "side"))
+            rep, copies, side, vecs, values = (pdf[c].to_numpy() for c in ("rep", "copies", "side", "v", "values"))
             ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
             links, firsts, seconds, start = np.zeros(len(keys), np.int64), [], [], 0
             for end in ends:
-                t, a, b, i, j = keys[start]
+                _, t, a, b, i, j = keys[start]
                 own = np.arange(start, end)
                 left = own[side[start:end] == 0]
                 right = left if a == b and i == j else own[side[start:end] == 1]
                 start = end
                 if not len(left) or not len(right):
                     continue
-                linked = x[left] @ x[right].T >= threshold
+                x = unit(np.stack(vecs[left]))
+                linked = x @ (x if right is left else unit(np.stack(vecs[right]))).T >= threshold
                 u, v = np.nonzero(np.triu(linked, 1) if right is left else linked)
                 if not len(u):
                     continue
                 u, v = left[u], right[v]
-                diff = values[u, :t] ^ values[v, :t]
+                diff = np.stack(values[u])[:, :t] ^ np.stack(values[v])[:, :t]
                 first = ((diff & (diff - 1)) != 0).all(1)
                 u, v = u[first], v[first]
                 np.add.at(links, u, copies[v])
@@ -155,7 +207,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
 
         size = cut.agg(F.sum(F.col("n") * F.col("nb") + F.col("m") * F.col("na"))).first()[0] or 0
         groups = max(8, int(size) // ROWS)
-        dealt = blocks.withColumn("_group", F.pmod(F.xxhash64(*KEYS), F.lit(groups)))
+        dealt = blocks.join(copies.select("rep", "v"), "rep").withColumn("_group", F.pmod(F.xxhash64(*KEYS), F.lit(groups)))
         found = scratch.save(dealt.groupBy("_group").applyInPandas(compare, f"id {kind}, n long, a {kind}, b {kind}"))
         counts = found.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
         labels = components(found.filter("a is not null").select("a", "b"), scratch)
