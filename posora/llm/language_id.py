@@ -94,15 +94,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     """Learn from every row of ``labelled`` with a text and a language.
 
     The driver gets one count vector for each language. Bits are trusted by their
-    errors on up to ``per_language`` texts of each language (the bounded sample; the
-    texts themselves stay in the executors).
+    errors on about ``per_language`` texts of each language, all of a rarer one (the bounded sample; the
+    texts themselves stay in the executors). Rows without text or language teach nothing; no rows give a model without languages.
+    Languages are few enough for the driver to hold a vector of each.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for text, lang in zip(pdf["_text"], pdf["_lang"], strict=True):
-                own = np.bincount(gram_buckets(letters_only(text)), minlength=BUCKETS)
+                own = np.bincount(gram_buckets(letters_only(text)), minlength=BUCKETS + 1)
+                own[BUCKETS] = 1  # the last counter is for texts
                 if lang in total:
                     total[lang] += own
                 else:
@@ -111,7 +113,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
             yield vectors(total)
 
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    found = {k: v for k, v in summed(rows.mapInPandas(count, "key string, vec binary")).items() if v.sum()}
+    sums = {k: v for k, v in summed(rows.mapInPandas(count, "key string, vec binary")).items() if v[:BUCKETS].any()}
+    found, texts = {k: v[:BUCKETS] for k, v in sums.items()}, {k: int(v[BUCKETS]) for k, v in sums.items()}
     languages = sorted(found)
     code = codewords(len(languages))
     if not languages:
@@ -136,9 +139,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
                     wrong += m.margins(raw) * m.code[m.languages.index(lang)] <= 0
         yield vectors({"seen": seen, "wrong": wrong})
 
-    n = rows.count()
-    part = max(1, n // max(1, per_language * len(languages)))
-    held = summed(rows.filter(F.pmod(F.xxhash64("_text"), F.lit(part)) == 0).mapInPandas(errors, "key string, vec binary"), "float64")
+    # of each language every so many-th text by hash, all of a rare one
+    part = F.create_map(*(F.lit(x) for k in languages for x in (k, -(-texts[k] // per_language))))[F.col("_lang")]
+    held = summed(rows.filter(F.pmod(F.xxhash64("_text"), part) == 0).mapInPandas(errors, "key string, vec binary"), "float64")
     rate = (held["wrong"] + 1) / (held["seen"] + 2) if held else np.full(bits, 0.5)
     trust = np.maximum(np.log((1 - rate) / rate), 0.01)
     model.trust = trust / trust.sum()

@@ -3,8 +3,8 @@
 Pieces of full length are sequences of their own. The others are dealt by hash
 into partitions of a bounded number of pieces; each runs best-fit decreasing
 and compares its bins with a lower bound from dual feasible functions. Where
-the two are equal the partition is certified and its full bins stay. The
-bins that are not full of all partitions exchange their documents: they are
+the two are equal the partition is certified. Full bins stay, as none can be
+better. Bins that are not full exchange their documents: those of all partitions are
 gathered in ever fewer, again bounded, partitions and packed anew, until one
 partition is left or a round saves nothing.
 """

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mixed, summed, vectors
+from .shared import WordHashes, mixed, packed, summed, vectors
 
 #: Counters for grams; the statistics are two vectors of this length whatever the input.
 BUCKETS = 1 << 16
@@ -34,7 +34,7 @@ def word_runs(text: str | None) -> list[bytes]:
 
 
 def gram_buckets(text: str | None) -> np.ndarray:
-    """The counters of a text's grams: character trigrams within words, letters lower-cased and digits alike."""
+    """The counters of a text's grams: character trigrams within and across words, letters lower-cased and digits alike."""
     if not text:
         return np.empty(0, np.int64)
     raw = np.frombuffer(b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_SHAPE).split()) + b" ", np.uint8).astype(np.uint64)
@@ -96,12 +96,12 @@ def rules(text: str | None, known: WordHashes) -> tuple[int, int, int, int, int]
 
 
 def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``_quality``: struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept>.
+    """(doc, verdict) of each row: all its columns, and struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept>.
 
     ``trusted`` has the ids of the trusted target in its column ``id_col``.
     Rows are judged one by one: null text has no words and fails, repeated rows
     get equal verdicts, null ids are judged but never trusted. With no trusted
-    text every score is 0. Other columns don't leave the JVM.
+    text every score is 0. Other columns don't leave the JVM and may have any name.
     """
     ids = trusted.select(F.col(id_col).alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(True))
     # One shuffle of the texts at every size: ids grow with the labels, so they are never broadcast.
@@ -119,10 +119,10 @@ def judged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
             out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
             yield out
 
-    return docs.withColumn("_quality", judge(F.col(text_col)))
+    return packed(docs).withColumn("verdict", judge(F.col(f"doc.`{text_col}`")))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, and the fields of ``_quality``) of each row."""
+    """(id, and the fields of the verdict) of each row; see ``judged``."""
     rows = judged(docs.select(F.col(id_col), F.col(text_col)), trusted, id_col, text_col, threshold)
-    return rows.select(id_col, "_quality.*")
+    return rows.select(F.col(f"doc.`{id_col}`").alias(id_col), "verdict.*")

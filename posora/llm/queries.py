@@ -26,35 +26,46 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of whole texts, and the stored prefix counts that give them (see ``prefix_counts``).
+
+    Null and empty text: 0 tokens. Null ids and repeated rows are kept as they are; no rows give none.
+    """
     found = prefix_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), budget=2048)
-    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars")
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "fit_chars", "prefix_steps", "step_bytes")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by three-word shingles at 90 %. Null, empty and wordless texts and null ids stand alone; repeated ids count as one document; no rows give none."""
     return jaccard_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards by bytes. Null text counts one byte, null ids and repeated rows have places of their own, equal texts stand together where they are few; no rows give none."""
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that stand in two documents, exactly or at 80 % of five-word shingles. Null and short texts and null ids give no rows, nor does an empty table; repeated ids count as one document."""
     return repeated_passages(table(spark, sf_dir, "documents"), min_words=50, n=5, percent=80)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors at cosine 0.95. Null, empty, zero and non-finite vectors and null ids link with nothing; equal vectors link; no rows give none."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens. Null and empty texts are the closing id alone; repeated rows and null ids are packed one by one; no rows give none."""
     return packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of whole texts as spans. Null and empty texts have none; null ids and repeated rows are kept; no rows give none."""
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages predicted from text alone, learnt from two thirds by id. Null text and text without a letter give `und` with score 0; null ids count as learnt from; repeated rows get equal answers; no rows give none."""
     docs = table(spark, sf_dir, "documents")
     held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
     rows = docs.select("doc_id", "text", "lang", F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -63,15 +74,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of whole texts by their number and checksum. Null and empty texts have none; null ids and repeated rows are kept; no rows give none."""
     return encoded(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of documents labelled good and not toxic."""
+    """The ids of documents labelled good and not toxic; null labels are neither, repeated ids are harmless."""
     return table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, score and verdict of every text. Null and empty texts have no words and fail; null ids are judged but not trusted; repeated rows get equal verdicts; no rows give none."""
     return quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
 

@@ -123,11 +123,6 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(acc)
 
 
-def lower_words(text: str | None) -> list[bytes]:
-    """Runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def vectors(total: dict[str, np.ndarray]) -> pd.DataFrame:
     """Rows of key and vec."""
     return pd.DataFrame({"key": list(total), "vec": [v.tobytes() for v in total.values()]}, dtype=object)

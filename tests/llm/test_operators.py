@@ -21,15 +21,16 @@ from posora.llm.queries import ORACLE_SQL, QUERIES
 
 SF = f"{DATA}/sf0.001"
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, v int, n int, _id int, kept int, size int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, v int, n int, _id int, kept int, size int, _spans string, _quality string, _cut string, _cuts string, doc string, verdict string, found int, rest int"
+CLASHES = ("a", "b", "c", "d", "e", "f", 1, 2)
 
 
 def odd_rows():
     rng = random.Random(3)
     base = " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randint(0, 99)) for _ in range(120))
     texts = [None, "", " \n\t", "one", "two words", base, base, base.replace("alpha", "ALPHA"), base + " tail", "x" * 30_000, "a b " * 9_000, "é漢字 😀 token=abc\n\nß", "<|endoftext|> it's"]
-    rows = [(i + 1, t, "en" if i % 2 else None, "s", None, "clash", 1, 2, 3, 4, 5) for i, t in enumerate(texts)]
-    return [*rows, rows[5], (None, base, "en", None, None, None, None, None, None, None, None)]
+    rows = [(i + 1, t, "en" if i % 2 else None, "s", None, "clash", 1, 2, 3, 4, 5, *CLASHES) for i, t in enumerate(texts)]
+    return [*rows, rows[5], (None, base, "en", *[None] * 16)]
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +67,22 @@ def test_odd_and_empty_tables(odd, none, name):
     assert n >= odd.count() if name == "packs" else n == odd.count()
 
 
+def test_stages_of_the_pipeline_on_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        if name != "packing":
+            assert out.schema == odd.schema
+            assert all(tuple(r[-8:]) in (CLASHES, (None,) * 8) for r in rows)
+        if name == "secret_scan":
+            assert len(rows) == odd.count() and not any("token=abc" in (r.text or "") and len(r.text) < 10 for r in rows)
+        if name == "near_duplicates":
+            assert sum(r.doc_id in (6, 7, 8, 9) for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
+
+
 def test_repeats_on_odd_tables(odd, none):
     assert substring_dedup.repeated_passages(none).count() == 0
     found = substring_dedup.repeated_passages(odd)
@@ -413,3 +430,120 @@ def test_parities_bound_the_difference(spark):
         got = spark.createDataFrame([(x, y)], "x array<long>, y array<long>").select(jaccard_join.least_apart(F.col("x"), F.col("y")).alias("d")).first().d
         apart = len(np.setxor1d(a, b))
         assert got <= apart and (apart > 300 or got >= 0.6 * apart)
+
+
+def test_token_count_query_equals_the_library(spark):
+    lib = Tokenizer.from_file(WORDS)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
+    got = QUERIES["op1_token_counts"](spark, f"{DATA}/sf0.01").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n = len(lib.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        counts = token_counts.counts_of(bytes(r.prefix_steps), r.step_bytes)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 2048)
+        assert len(counts) == len(docs[r.doc_id]) and (counts[-1] if len(counts) else 0) == n
+        assert r.fit_chars == max((i + 1 for i in np.flatnonzero(counts <= 2048)), default=0)
+
+
+def test_quality_query_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1 and r.toxic == 0}
+    raw, target, grams = {}, {}, {}
+    for r in docs:
+        text = re.sub("[1-9]", "0", " " + " ".join(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x7f" else c for c in r.text or ""))) + " ").encode()
+        grams[r.doc_id] = quality.gram_buckets(r.text).tolist()
+        assert len(grams[r.doc_id]) == max(0, len(text) - 2)
+        for g in grams[r.doc_id]:
+            raw[g] = raw.get(g, 0) + 1
+            if r.doc_id in good:
+                target[g] = target.get(g, 0) + 1
+    n_raw, n_target, size = sum(raw.values()), sum(target.values()), quality.BUCKETS
+
+    def share(k, n):
+        return (k + quality.SMOOTHING * n / size) / (n * (1 + quality.SMOOTHING))
+
+    got = {r.doc_id: r for r in QUERIES["op10_quality_rules"](spark, SF).collect()}
+    for r in docs:
+        own = grams[r.doc_id]
+        score = sum(np.log(share(target.get(g, 0), n_target) / share(raw[g], n_raw)) for g in own) / len(own) if own else 0.0
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and score >= quality.THRESHOLD)
+
+
+def test_seven_languages_and_a_rare_one(spark):
+    rng = random.Random(41)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k}": ["".join(rng.choice(letters[k * 2 :] + letters[: k * 3]) for _ in range(rng.randint(2, 6))) for _ in range(60)] for k in range(7)}
+
+    def text(lang):
+        return " ".join(rng.choice(words[lang]) for _ in range(40))
+
+    rows = [(i, text(f"l{i % 6}"), f"l{i % 6}") for i in range(240)] + [(1000 + i, text("l6"), "l6") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert model.languages == sorted(words) and model.code.shape[1] > 7
+    fresh = [(i, text(lang), lang) for i, lang in enumerate(sorted(words) * 5)]
+    out = language_id.predict(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == fresh[r.doc_id][2] for r in out) >= 0.95 * len(fresh)
+    for r in out[:10]:  # plain decoding
+        grams = language_id.gram_buckets(language_id.letters_only(fresh[r.doc_id][1]))
+        margins = [np.tanh(4 * sum(model.weights[g, j] for g in grams) / len(grams)) for j in range(model.code.shape[1])]
+        loss = [sum(w * (1 - m * c) / 2 for w, m, c in zip(model.trust, margins, row, strict=True)) for row in model.code]
+        assert r.lang_pred == model.languages[int(np.argmin(loss))]
+
+
+def test_long_runs_and_many_hits_take_linear_time(spark):
+    import time
+
+    rng = random.Random(51)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    hits = " ".join(f"token=abcdef {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, "x " + run + " y"), (2, hits)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    assert got[1].spans == "entropy:2:1000002" and got[2].n_assign == 100_000
+    masked = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
+    assert masked[1] == "x [SECRET] y" and masked[2].startswith("[SECRET] 0 [SECRET] 1 ") and masked[2].count("[SECRET]") == 100_000
+    assert time.time() - began < 150
+
+
+def test_words_and_repetitions_end_a_run_but_hide_no_secret_beside_them(spark):
+    secret = "q8Zr2LmX0vB7tYc5KdWn3J"
+    texts = ["samples/keys/" + secret, "------" + secret, "example" * 4, "0" * 30, "plain_words_without_any_digit", "123e4567-e89b-12d3-a456-426614174000"]
+    out = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_entropy for r in out] == [1, 1, 0, 0, 0, 0]
+
+
+def test_repeated_passages_equal_brute_force_on_exact_passages(spark):
+    rng = random.Random(61)
+    pool = [[f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([45, 50, 70]))] for _ in range(12)]
+    docs = []
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            words += [f"x{rng.randint(0, 10**7)}" for _ in range(rng.randint(3, 30))]
+            words += rng.choice(pool)
+        docs.append(words)
+    where = {}
+    for i, w in enumerate(docs):
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i: {k + j for k in range(len(w) - 49) if len(where[tuple(w[k : k + 50])]) > 1 for j in range(50)} for i, w in enumerate(docs)}
+    got = {i: set() for i in want}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # groups go on from batch to batch
+    for r in substring_dedup.repeated_passages(df).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_very_long_texts_are_taken_in_parts(spark, monkeypatch):
+    rng = random.Random(71)
+    passage = [f"p{k}" for k in range(60)]
+    long = [f"w{rng.randint(0, 10**6)}" for _ in range(9000)]
+    long[4070:4130] = passage
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(["y"] * 3 + passage))], "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "PART", 5000)
+    monkeypatch.setattr(substring_dedup, "LAP", 200)
+    found = {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert found == {(1, 4070, 4130), (2, 3, 63)}
