@@ -244,5 +244,7 @@ def test_regimens(spark):
         ("오전 8시, 오후 8시 : 30 식후 복용", (["08:00", "20:30"], "after_meal", "oral", False)), ("AM 12 pm 12:05", (["00:00", "12:05"], None, None, False)),
         ("복용시간 9:00 21:30 9:00", (["09:00", "21:30"], None, "oral", False)), ("9:00", none), ("오후 13시 오전 1:75", none), ("필요시 오전 8시 PRN", ([], None, None, True)),
         ("□ 식후 □ 필요시", none), ("식전 또는 식후", none), ("공복 점안", ([], "empty_stomach", "ophthalmic", False)), ("XPRNX", none), ("", none), (None, none),
+        ("식사 와 함께 먹는다", ([], "with_meal", "oral", False)), ("식사중", ([], "with_meal", None, False)), ("식사 관계 없이 PM 3 : 05", (["15:05"], "regardless", None, False)), ("Schedule times 24:00 8：15", (["08:15"], None, None, False)),
+        ("as  needed", ([], None, None, True)), ("오후 12시 30", (["12:00"], None, None, False)), ("AM 8am", none), ("귀에 점안", ([], None, "ophthalmic", False)),
     ]
     check(spark, forms.regimen, cases)
