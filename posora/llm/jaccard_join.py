@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Scratch, WordHashes, summed, vectors, windows
+from .shared import Scratch, WordHashes, slices, summed, vectors, windows
 
-#: Bits of a shingle's place in the table of counts: as many as the documents need, in these bounds (16 MB at most).
+#: Bits of a shingle's place in the table of counts: as many as the documents need, in these bounds (32 MB of counts in a task at most).
 COUNT_BITS = (18, 22)
 #: Shared shingles before one that go with it in the last round.
 BEFORE = 8
@@ -79,12 +79,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     count_bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()))) + 2, *COUNT_BITS))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = WordHashes(), np.zeros(1 << count_bits, np.int32)
+        known, counts = WordHashes(), np.zeros(1 << count_bits, np.int64)
         at = np.uint64(64 - count_bits)
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [shingle_set(t, n, known) for t in pdf["text"]]
-            for s in sets:
-                np.add.at(counts, (s >> at).astype(np.int64), 1)
+            counts += np.bincount((np.concatenate(sets) >> at).astype(np.int64), minlength=1 << count_bits)
             both = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "sig": pd.Series(both, pdf.index, object), "key": pd.Series([None] * len(pdf), pdf.index, object), "vec": pd.Series([None] * len(pdf), pdf.index, object)})
         part = vectors({"counts": counts})
@@ -92,7 +91,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     first = scratch.save(rows.mapInPandas(summarise, f"id {kind}, n long, sig binary, key string, vec binary"))
     sets = first.filter("key is null").select("id", "n", "sig")
-    counted = summed(first.filter("key is not null").select("key", "vec"), "int32").get("counts", np.zeros(1 << count_bits, np.int32))
+    counted = summed(first.filter("key is not null").select("key", "vec")).get("counts", np.zeros(1 << count_bits, np.int64))
     order = spark.sparkContext.broadcast(np.argsort(np.argsort(counted, kind="stable"), kind="stable").astype(np.uint32))  # 16 MB at most
 
     worded = sets.filter("n > 0 and id is not null")
@@ -102,7 +101,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, place = WordHashes(), order.value
         at, low = np.uint64(64 - count_bits), np.uint64((1 << 64 - count_bits) - 1)
-        for pdf in batches:
+        for pdf in slices(batches):
             ids, ns, heads, bits = [], [], [], []
             for i, t in zip(pdf["id"], pdf["text"], strict=True):
                 s = shingle_set(t, n, known)

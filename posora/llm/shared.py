@@ -66,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, with a bounded number of remembered bytes."""
 
-    def __init__(self, limit: int = 4_000_000):
+    def __init__(self, limit: int = 2_000_000):
         super().__init__()
         self.limit, self.held = limit, 0
 
@@ -123,6 +123,13 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(acc)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The batches in slices, so that what is made of texts at a time stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def vectors(total: dict[str, np.ndarray]) -> pd.DataFrame:
     """Rows of key and vec."""
     return pd.DataFrame({"key": list(total), "vec": [v.tobytes() for v in total.values()]}, dtype=object)
