@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_relational import rows
 
+import posora.plans.corpus_cases  # noqa: F401 - registers its cases
 from posora.plans.cases import ORACLE_SQL, QUERIES
 
 
