@@ -76,7 +76,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     scratch = scratch or Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    count_bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()))) + 2, *COUNT_BITS))
+    count_bits = int(np.clip(np.ceil(np.log2(max(1, docs.count()))), *COUNT_BITS))
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = WordHashes(), np.zeros(1 << count_bits, np.int64)
