@@ -25,7 +25,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int = 1024, id_col:
 
     Shard sizes in bytes differ from equal by less than one row, or by less
     than a group of equal texts that takes at most the share ``together`` of a
-    shard: such a group isn't divided. ``slot`` counts a shard's rows from 0.
+    shard: such a group isn't divided. A group that lies in several ranges is judged by its part in
+    each. Ranges that are overfull after four subdivisions stay so; shards are even all the same. ``slot`` counts a shard's rows from 0.
     Null text counts one byte; null ids come first among equal texts; an empty
     table gives no rows. At most ``ranges`` * OVERSAMPLE keys go to the driver.
     """

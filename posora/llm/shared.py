@@ -31,19 +31,22 @@ class Scratch:
         if app not in self._roots:
             base = spark.conf.get("spark.checkpoint.dir", None)
             if not base:
-                if not spark.sparkContext.master.startswith("local["):
+                if not spark.sparkContext.master.startswith("local"):
                     raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
                 base = "file://" + tempfile.mkdtemp(prefix="posora-")
             self._roots[app] = f"{base.rstrip('/')}/posora-{app}"
-            atexit.register(self._delete, self._roots[app])
+            atexit.register(self._at_exit, self._roots[app])
         self.root = self._roots[app]
 
     def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _at_exit(self, path: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may already be gone at exit
+            self._delete(path)
+        except Exception:  # the session may already be gone; the folder goes with the application's others
             pass
 
     def save(self, df: DataFrame) -> DataFrame:
