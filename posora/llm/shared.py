@@ -69,7 +69,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, with a bounded number of remembered bytes."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_000_000):
         super().__init__()
         self.limit, self.held = limit, 0
 
