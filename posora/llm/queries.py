@@ -12,10 +12,11 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_classes
 from .language_id import fit, predict
 from .packing import packed_documents
+from .prefix_trie import prefix_trie, rebuilt, turn_digests
 from .quality import quality_rules
 from .secret_scan import scan_secrets
 from .sentencepieces import encoded
-from .shared import table
+from .shared import Scratch, table
 from .sharding import shard_by_bytes
 from .substring_dedup import repeated_passages
 from .token_counts import prefix_counts
@@ -88,6 +89,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations. Null roles and texts are empty, rows with a null id are left out, equal rows are turns of their own, ties in the turn go by digest; no rows give none."""
+    scratch = Scratch(spark)
+    return prefix_trie(*rebuilt(turn_digests(table(spark, sf_dir, "conversations")), scratch), scratch)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -123,4 +131,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
         FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
     """,
+    "op11_prefix_trie": r"""
+        WITH turns AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, md5(coalesce(role, '') || chr(1) || coalesce(text, '')) AS t,
+                   len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            -- the checksum of the decimal digits, bit by bit
+            SELECT c, len, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda crc, b:
+                list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, (v & 1) * 3988292384 + 0 * i))), 4294967295) % 4 AS h
+            FROM (SELECT c, count(*) AS len FROM turns GROUP BY c)
+        ), taken AS (SELECT i.c, i.base, i.h, least(i.h, coalesce(b.len, 0)) AS k FROM ids i LEFT JOIN ids b ON b.c = i.base
+        ), rebuilt AS (
+            SELECT x.c, t.pos AS d, t.t, t.words FROM taken x JOIN turns t ON t.c = x.base AND t.pos <= x.k
+            UNION ALL SELECT x.c, t.pos - x.h + x.k, t.t, t.words FROM taken x JOIN turns t ON t.c = x.c AND t.pos > x.h
+        ), steps AS (
+            SELECT c, 0 AS d, '' AS path, NULL AS up, 0 AS words FROM ids
+            UNION ALL SELECT c, d, string_agg(t, '') OVER w, coalesce(string_agg(t, '') OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), words
+            FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)
+        ), nodes AS (SELECT path, any_value(up) AS up, d, any_value(words) AS words, min(c) AS rep, count(*) AS n FROM steps GROUP BY path, d
+        ), children AS (SELECT up AS path, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up
+        ), sums AS (
+            SELECT s.path, sum(CASE WHEN k.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((v.n - 1) * v.words) AS saved
+            FROM (SELECT DISTINCT s.path, x.path AS below FROM steps s JOIN steps x ON x.c = s.c AND x.d >= s.d) s
+            JOIN nodes v ON v.path = s.below LEFT JOIN children k ON k.path = s.below GROUP BY s.path
+        ), ends AS (
+            SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS members FROM (SELECT c, arg_max(path, d) AS path FROM steps GROUP BY c) GROUP BY path
+        )
+        SELECT v.rep AS conv_id, v.d::BIGINT AS depth, p.rep AS parent_conv_id, v.n AS n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+               s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.members, '')) AS ends_sha256
+        FROM nodes v JOIN sums s USING (path) LEFT JOIN nodes p ON p.path = v.up LEFT JOIN children k ON k.path = v.path LEFT JOIN ends e ON e.path = v.path
+    """,
 }
