@@ -20,6 +20,7 @@ from .shared import Scratch, table
 from .sharding import shard_by_bytes
 from .substring_dedup import repeated_passages
 from .token_counts import prefix_counts
+from .whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -95,6 +96,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(turn_digests(table(spark, sf_dir, "conversations")), scratch), scratch)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of each vector. Null, empty and non-finite vectors are left out; null ids and repeated rows are kept; no rows give none."""
+    return whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_jaccard_join": op2_jaccard_join,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_rules": op10_quality_rules,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
