@@ -1,35 +1,42 @@
-"""Connected components of an edge table by label propagation with pointer jumping."""
+"""Connected components of an edge table, by contraction.
 
-from __future__ import annotations
+Each round points every node at its smallest neighbour, jumps once along those
+pointers and replaces the edges by edges between the pointed-at nodes, so the
+edge table shrinks by at least half; it ends when no edge is left. Nothing is
+collected: the driver learns only whether edges remain.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from posora.scratch import Scratch
+
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every end of ``edges`` (a, b): the least id that can be reached.
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(id, component) of all nodes of ``edges`` (a, b); component is the least id reachable.
 
-    Loops and repeated edges are fine; null ends are ignored; no edges give no rows. Each round takes the least
-    label among neighbours and then the label's own label, so the rounds grow with the logarithm of the longest
-    path; lineage is cut by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+    Null ends, loops and repeated edges are ignored, so a node with loops alone has no row. No edges: no rows.
     """
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if base is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(f"{base or 'file://' + tempfile.mkdtemp(prefix='posora-')}/graph-{uuid.uuid4().hex}")
-    sound = edges.filter("a IS NOT NULL AND b IS NOT NULL")
-    both = sound.select("a", "b").union(sound.select("b", "a")).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct().checkpoint()
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        least = labels.join(near, labels["id"] == near["a"]).select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        new = least.join(root, "component", "left").select("id", F.least("component", F.coalesce("root", "component")).alias("component"), "was").checkpoint()
-        labels = new.select("id", "component")
-        if new.filter("component <> was").isEmpty():
-            return labels
+    scratch = scratch or Scratch(edges.sparkSession)
+    cur = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    labels: DataFrame | None = None
+    while not cur.isEmpty():
+        both = cur.select(F.col("a").alias("id"), F.col("b").alias("to")).union(cur.select("b", "a"))
+        near = scratch.save(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")))
+        jump = near.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.to").alias("to"))
+        jump = scratch.save(jump)
+        ja, jb = jump.select(F.col("id").alias("a"), F.col("to").alias("ta")), jump.select(F.col("id").alias("b"), F.col("to").alias("tb"))
+        nxt = scratch.save(cur.join(ja, "a").join(jb, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a < b").distinct())
+        if labels is None:
+            new = scratch.save(jump.select("id", F.col("to").alias("component")))
+        else:
+            j = jump.select(F.col("id").alias("component"), "to")
+            new = scratch.save(labels.join(j, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
+            scratch.drop(labels)
+        scratch.drop(cur, near, jump)
+        labels, cur = new, nxt
+    if labels is None:
+        return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return labels

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from conftest import DATA
 
+import posora.plans.corpus_shapes  # noqa: F401 - registers its queries
 from posora.operators.relational import ORACLE_SQL, QUERIES
 
 SF = f"{DATA}/{os.environ.get('TEST_SF', 'sf0.001')}"
