@@ -17,10 +17,11 @@ from posora.scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) of all nodes of ``edges`` (a, b); component is the least id reachable.
 
-    Null ends, loops and repeated edges are ignored, so a node with loops alone has no row. No edges: no rows.
+    Null ends are ignored, repeated edges are harmless, a node with loops alone is a component. No edges: no rows.
     """
     scratch = scratch or Scratch(edges.sparkSession)
-    cur = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    given = scratch.save(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    cur = scratch.save(given.filter("a < b"))
     labels: DataFrame | None = None
     while not cur.isEmpty():
         both = cur.select(F.col("a").alias("id"), F.col("b").alias("to")).union(cur.select("b", "a"))
@@ -37,6 +38,5 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             scratch.drop(labels)
         scratch.drop(cur, near, jump)
         labels, cur = new, nxt
-    if labels is None:
-        return cur.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels
+    loops = given.filter("a = b").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return loops if labels is None else labels.union(loops.join(labels.select("id"), "id", "left_anti"))
