@@ -11,12 +11,14 @@ to be made distinct. Tables hold codes alone; vectors go once to the blocks that
 compare them: buckets are cut into blocks of bounded size, pairs of blocks are
 compared as matrices in double precision, and only sums of links and spanning
 edges leave a block. Equal vectors are compared as one and counted with their
-number. Vectors of each length are a search of their own; lengths that few
-vectors have are compared in blocks without tables.
+number. Vectors of each length are a search of their own, with an index of its
+own. Where no tables reach the recall, which narrow vectors may bring about, all
+vectors of that length are one bucket, so nothing is lost; that is logged.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,7 @@ from .shared import Scratch
 SAMPLE = 4096
 ITERATIONS, ROTATIONS = 30, 24
 #: The share of pairs at the threshold that must meet, as measured on mates of the sample.
-RECALL = 0.985
-#: Lengths of so few vectors, and lengths beyond so many, have no tables.
-FEW, LENGTHS = 2048, 64
+RECALL, MATES = 0.985, 1024
 #: Vectors of a block, and rows of blocks that one call compares.
 BLOCK, ROWS = 1024, 6000
 
@@ -89,7 +89,8 @@ class Index:
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float, width: int | None = None):
         learnt, dims = unit(sample[::2]), sample.shape[1]
-        x = unit(sample[1::2])  # measured on others than learnt from
+        x = unit(sample[1::2])  # measured on others than learnt from, on so many mates of few vectors that chance counts little
+        x = np.tile(x, (-(-MATES // len(x)), 1))
         y = mates(x, threshold, 99)
         self.models: list[tuple[np.ndarray, np.ndarray]] = []
         self.width = width or int(np.clip(np.ceil(np.log2(max(2, n))) + 4, 6, 40))
@@ -106,11 +107,14 @@ class Index:
             elif self.width > 4:
                 self.width -= 2  # larger buckets rather than lost pairs
             else:
-                self.tables = a.shape[1] // self.width
+                logging.getLogger(__name__).warning("no tables reach the recall for vectors of length %d: they are compared as one bucket", dims)
+                self.width, self.tables = 0, 1
                 break
         self.models = self.models[: -(-self.tables * self.width // min(64, dims))]
 
     def values(self, x: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros((len(x), 1), np.int64)
         return chunk_values(codes(unit(x), self.models), self.width)[:, : self.tables]
 
 
@@ -129,20 +133,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     fine = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = rows.filter(F.col("id").isNotNull() & fine)
     copies = scratch.save(sound.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("dims", F.size("v")))
-    lengths = copies.groupBy("dims").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).orderBy(F.desc("n"), "dims").limit(LENGTHS).collect()
+    lengths = copies.groupBy("dims").agg(F.count("*").alias("n")).filter("n > 1").collect()  # a table of embeddings has few lengths
     indexes: dict[int, Index] = {}
     for r in lengths:
         picked = copies.filter(F.col("dims") == r["dims"]).select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).collect()
         indexes[r["dims"]] = Index(np.array([p["v"] for p in picked]), r["n"], threshold, chunk)
     empty = spark.createDataFrame([], f"id {kind}, n long")
-    if not copies.isEmpty():
-        shared = spark.sparkContext.broadcast(indexes)  # at most LENGTHS * ROTATIONS square matrices
+    if indexes:
+        shared = spark.sparkContext.broadcast(indexes)  # at most ROTATIONS narrow matrices for each length
 
         def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for dims, part in pdf.groupby("dims"):
-                    index = shared.value.get(dims)
-                    values = index.values(np.stack(part["v"].to_numpy())) if index else np.zeros((len(part), 1), np.int64)
+                    if dims not in shared.value:  # a single vector
+                        continue
+                    values = shared.value[dims].values(np.stack(part["v"].to_numpy()))
                     for t in range(values.shape[1]):
                         yield pd.DataFrame({"dims": dims, "table": t, "value": values[:, t], "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "values": list(values)})
 
@@ -150,10 +155,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         # each entry is in its own bucket and looks into those one bit away; of two such buckets only the pair (less, greater) is compared
         bucket = ["dims", "table", "value"]
         sizes = entries.groupBy(*bucket).agg(F.count("*").alias("n"))
-        widths = spark.createDataFrame([(d, x.width) for d, x in indexes.items()], "dims int, width int")  # at most LENGTHS
+        widths = spark.createDataFrame([(d, x.width) for d, x in indexes.items()], "dims int, width int")  # a row for each length
         flips = F.when(F.col("width") > 0, F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)))
         pairs = scratch.save(
-            sizes.join(F.broadcast(widths), "dims", "left")
+            sizes.join(F.broadcast(widths), "dims")
             .select("dims", "table", F.col("value").alias("a"), "n", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce(flips, F.array().cast("array<bigint>")))).alias("flip"))
             .withColumn("b", F.col("a").bitwiseXOR(F.col("flip")))
             .filter("a <= b")
