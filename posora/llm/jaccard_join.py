@@ -187,6 +187,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & apart & near("x", "y") & ~F.arrays_overlap("x.before", "y.before") & close)
         return met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
+    listings: list[DataFrame] = []
     for r in range(rounds + 1):
         if r:
             open_ = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
@@ -206,12 +207,18 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         if seen is not None:
             met = met.join(seen, ["a", "b"], "left_anti")
         pairs = scratch.save(alike(met))
+        listings.append(pairs)
+        scratch.release()
         if not pairs.isEmpty():
-            labels = relabelled(verified(pairs))
+            links = verified(pairs)
+            labels = relabelled(links)
+            scratch.drop(links)
             seen = pairs if seen is None else seen.union(pairs)
+        scratch.release()
         if r < rounds and labels is not None:
             named = labels.select("id", F.col("component").alias("_c"))
             tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
+    scratch.drop(entries, *listings, *([held] if rounds else []))
     if labels is None:
         labels = spark.createDataFrame([], f"id {kind}, component {kind}")
     named = classes.join(labels, F.col("rep") == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,11 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def release(self) -> None:
+        """Between large steps: let Spark delete the shuffle files of finished jobs, which it does when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
