@@ -1,7 +1,7 @@
-"""The domain's plans over small reviewed tables, each with SQL that gives the same rows.
+"""The domain's plans, each with SQL that gives the same rows.
 
-The driver's tables have no drug rules, so these queries bring their rows along, as
-the goldens of the domain. Plans and SQL are written apart.
+Queries run them over the domain's tables as they follow from the driver's (``derived``); the
+tests also hold them against small reviewed tables. Plans and SQL are written apart.
 """
 
 from __future__ import annotations
@@ -13,99 +13,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from posora.functions import compositions, forms, names, rules
-from posora.plans import linking, safety
+from posora.operators import graph, matching
+from posora.plans import derived, linking, safety
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-TABLES: dict[str, tuple[str, list[tuple]]] = {
-    "products": ("item_seq string, permit_form string, permit_status string", [("P1", "정제", "active"), ("P2", "주사제", "active"), ("P3", "캡슐제", "withdrawn"), ("P4", None, "active"), ("P5", "정제", "expired")]),
-    "components": ("item_seq string, category string, code string", [("P1", None, "D1"), ("P1", None, "D2"), ("P1", None, "D2"), ("P2", None, "D1"), ("P3", None, "D3"), ("P4", "dose_caution", "D4"), ("P5", None, None)]),
-    "code_map": ("category string, code string, canonical string", [("dose_caution", "D1", "D1"), ("dose_caution", "D4", "D4"), ("pregnancy_contraindication", "D1", "D1"), ("pregnancy_contraindication", "X1", "D1"), ("combination_contraindication", "D1", "D1"), ("combination_contraindication", "D3", "D3")]),
-    "product_rules": (
-        "id long, category string, item_seq string, ingredient_code string, effect_name string, dosage_form string, details string, paired_item string, paired_code string",
-        [
-            (1, "dose_caution", "P1", "D1", None, None, None, None, None), (2, "dose_caution", "P1", "D1", None, None, "100 mg", None, None),
-            (3, "dose_caution", "P1", "D1", None, None, "999mg", None, None), (4, "pregnancy_contraindication", "P2", "X1", None, "주사제", None, None, None),
-            (5, "pregnancy_contraindication", "P1", "D1", None, None, None, None, None), (6, "combination_contraindication", "P1", "D1", None, None, None, "P3", "D3"),
-            (7, "combination_contraindication", "P3", "D3", None, None, None, "P1", "D1"), (8, "age_contraindication", "P4", "D9", None, None, "6세 미만", None, None),
-            (9, "age_contraindication", "P5", "D8", None, None, None, None, None), (10, "therapeutic_duplication_caution", "P2", None, "진통제", None, None, None, None),
-        ],
-    ),
-    "criteria": (
-        "criterion_id long, category string, ingredient_code string, effect string, criterion_method string, criterion_value string, criterion_form string, criterion_details string, exact boolean, code string",
-        [
-            (101, "dose_caution", "D1", "", "mfds_ingredient_code", "100mg", None, None, False, "D1"), (102, "dose_caution", "D1", "", "mfds_composition", "200mg", None, None, True, "D1"),
-            (102, "dose_caution", "D1", "", "mfds_composition", "200mg", None, None, True, "D2"), (103, "pregnancy_contraindication", "D1", "", "mfds_ingredient_code", "2등급", "주사제", None, False, "D1"),
-            (104, "pregnancy_contraindication", "D1", "", "mfds_ingredient_code", "1등급", None, None, False, "D1"), (105, "age_contraindication", "D9", "", "mfds_ingredient_code", "6세 미만", None, "6세  미만", False, "D9"),
-            (106, "age_contraindication", "D9", "", "mfds_ingredient_code", "12세 미만", None, "12세 미만", False, "D9"), (107, "age_contraindication", "D8", "", "mfds_ingredient_code", "2세 미만", None, "a", False, "D8"),
-            (108, "age_contraindication", "D8", "", "mfds_ingredient_code", "2세  미만", None, "b", False, "D8"), (109, "therapeutic_duplication_caution", None, "진통제", "mfds_ingredient_code", "진통제", None, None, False, "D1"),
-        ],
-    ),
-    "pairs": ("criterion_id long, side string, code string", [(201, "left", "D1"), (201, "right", "D3"), (202, "left", "D3"), (202, "right", "D1"), (202, "right", "D2")]),
-    "allowed": ("category string, ingredient_code string, item_seq string, rule_value string", [("pregnancy_contraindication", "X1", "P2", "2등급"), ("pregnancy_contraindication", "D1", "P9", "1등급")]),
-    "people": ("person string, birth_date date, sex string, pregnancy_status string, lactation string", [("A", "2016-03-01", "female", "not_pregnant", "no"), ("B", "1990-05-05", "female", "pregnant", None), ("C", "1959-06-15", "male", None, None), ("D", "1956-02-29", "female", None, "no")]),
-    "courses": (
-        "course long, person string, item_seq string, start date, end date, side string",
-        [(1, "A", "P1", "2024-01-01", "2024-01-10", "left"), (2, "A", "P3", "2024-01-12", "2024-01-20", "right"), (3, "B", "P1", "2024-02-01", None, "left"), (4, "B", "P3", "2024-01-01", "2024-01-30", "right"), (5, "C", "P2", "2024-06-10", "2024-06-20", "left"), (6, "C", "P3", "2024-05-01", "2024-06-09", "right"), (7, "D", "P2", "2021-02-20", "2021-02-27", "left"), (8, "D", "P1", None, None, "right")],
-    ),
-    "age_rules": ("rule_id long, item_seq string, rule_value string", [(1, "P1", "12세 미만"), (2, "P1", "7세 이하"), (3, "P2", "65세 이상"), (4, "P2", "18세 초과"), (5, "P1", "액제: 2세 미만, 정제: 6세 미만"), (6, "P1", "96개월 미만")]),
-    "grades": ("rule_id long, item_seq string, rule_value string", [(1, "P1", "1등급"), (2, "P3", "2등급(말라리아 치료시 제외)"), (3, "P3", "2등급"), (4, "P2", "1등급"), (5, "P2", "2등급")]),
-    "windows": (
-        "rule_id long, details string, left_name string, right_name string, evaluator string, hours int, mode string",
-        [
-            (1, "병용금기", "Alpha", "Beta", None, None, None), (2, "24시간 이내 병용금기", "Alpha", "Beta", None, None, None), (3, "Alpha 투여 중단 후 2주", "Alpha", "Beta", None, None, None),
-            (4, "Gamma 투여 중단 후 2주", "Alpha", "Beta", None, None, None), (5, "beta  복용 종료 후 3 일", "Alpha", "Beta", None, None, None), (6, "투여 중단 후 주의", "Alpha", "Beta", None, None, None),
-            (7, "병용금기", "Alpha", "Beta", "minimum_separation", 48, "runtime_evaluable"), (8, "병용금기", "Alpha", "Beta", "new_kind", None, "runtime_evaluable"), (9, "병용금기", "Alpha", "Beta", "opaque_condition", None, "review_required"),
-        ],
-    ),
-    "groups": ("item_seq string, grp string, form string, excluded_route string, review boolean", [("P1", "진통제", "정제", None, False), ("P3", "진통제", "캡슐제", "oral", False), ("P2", "진통제", "주사제", "oral", False), ("P3", "항생제", None, "oral", False), ("P1", "항생제", "정제", None, True)]),
-    "durations": ("draft long, days int, rule_value string, review boolean, unlinked boolean", [(1, 20, "28일", False, False), (2, 30, "28일", False, False), (3, 30, None, False, False), (4, 30, None, False, True), (5, None, "28일", False, False), (6, 10, "28일", True, False), (7, 10, "28일", False, False), (7, 10, "2주", False, False), (8, 10, "3개월", False, False), (9, 14, "2주", False, False)]),
-    "doses": ("draft long, rule_value string, amount string, unit string, frequency int", [(1, "가 100mg", "50", "mg", 2), (2, "가 100mg", "50.5", "mg", 2), (3, "가 1.5g", "500", "mg", 3), (4, "가 4정", "2", "정", 3), (5, "가 100mg", "1", "정", 3), (6, None, "1", "mg", 1), (7, "가 100mg 또는 나 50mg", "1", "mg", 1), (8, "가 100mg", "50", "mg", None)]),
-    "findings": ("person string, category string, severity string, status string", [("A", "combination", "danger", None), ("A", "combination", "info", "unknown"), ("A", "age", "danger", "conditional"), ("B", "pregnancy", "info", "unknown"), ("C", "elderly", "warning", None)]),
-    "known": ("person string, category string, applicable boolean, quantitative string, issue boolean, verified boolean, mapped boolean", [("A", "combination", True, None, False, True, True), ("A", "age", True, None, False, True, True), ("A", "pregnancy", False, None, False, True, True), ("A", "dose", True, "exceeded", False, True, True), ("B", "pregnancy", True, None, False, True, True), ("B", "dose", True, "within", False, True, True), ("B", "age", True, None, False, False, True), ("C", "elderly", True, None, False, True, True), ("C", "combination", True, None, False, True, False), ("C", "age", True, None, False, True, True)]),
-    "medications": ("med string, person string, name string, start date, end date, prn boolean, frequency int, active boolean, seq int", [("m1", "A", "가", "2024-01-01", "2024-01-31", False, 3, True, 1), ("m2", "A", "나", "2024-01-05", None, False, 2, True, 2), ("m3", "B", "다", "2024-01-01", "2024-01-03", False, 1, False, 3), ("m4", "B", "라", "2024-01-01", None, True, None, True, 4), ("m5", "B", "마", "2024-01-01", None, False, 0, True, 5)]),
-    "schedules": ("schedule int, med string, clock string", [(1, "m1", "20:00"), (2, "m1", "08:00"), (3, "m3", "09:00")]),
-    "instances": ("med string, slot string, clock string, state string", [("m1", "slot:1", "09:00", "planned"), ("m1", "slot:2", "20:00", "planned"), ("m2", "slot:1", None, "taken"), ("m3", "slot:1", "09:00", "planned"), ("m2", "slot:3", None, "planned")]),
-    "requests": ("request string, seq int, med string, payload string, at string", [("r1", 1, "m4", "p", "2024-01-05T23:30:00+09:00"), ("r1", 2, "m4", "p", "2024-01-05T23:31:00+09:00"), ("r1", 3, "m4", "q", "2024-01-05T23:32:00+09:00"), ("r2", 4, "m4", "p", "2024-01-05T15:10:00Z"), ("r3", 5, "m1", "z", "2024-01-06T00:10:00")]),
-    "notes": ("remark_id long, mode string, value string", [(1, "composition_scope", "all"), (2, "informational", None), (3, "review_required", None), (4, "interaction_window", "24"), (5, "form_exclusion", "topical")]),
-    "facts": ("criterion_id long, role string, evaluator string, mode string, fallback string, hours int, expected int", [(1, "applicability_condition", "minimum_separation", "runtime_evaluable", "review_required", 24, 1), (2, "applicability_condition", "minimum_separation", "runtime_evaluable", "review_required", 0, 1), (3, "informational", "display_only", "resolved_at_build", "none", None, 2), (4, "something", "display_only", "resolved_at_build", "none", None, 1)]),
-    "raw_criteria": ("seq long, del_yn string, name_type string, value string", [(1, "정상", "of", "a"), (2, "삭제", "cn", "b"), (3, "정상", "bn", "c"), (4, "정상", "sys", "  "), (5, "기타", "of", None)]),
-    "texts": (
-        "k long, text string",
-        [
-            (1, "  가나  "), (2, " \t\n"), (3, None), (4, "20200131"), (5, "2020-01-31"), (6, "2020.01"), (7, "정상"), (8, "취하"), (9, "기타"), (10, "E1, E2,,E1 "), (11, "28일"), (12, "2주"), (13, "3개월"), (14, "0일"),
-            (15, "2등급(말라리아 치료시 제외)"), (16, "1 등급"), (17, "A1가"), (18, "3/4"), (19, "2.5정"), (20, "1/0"), (21, "[D000001]Alpha/[D000002]Beta"), (22, "가바펜틴 3,600mg"), (23, "아미카신 1.5g(역가)"), (24, "주1회 2mg 또는 3mg"), (25, "트리아졸람 0.25밀리그램"),
-        ],
-    ),
-    "known_names": ("substance_id string, name string", [("S1", "alpha"), ("S2", "beta"), ("S3", "gamma"), ("S4", "gamma")]),
-    "edges": ("a long, b long", [(1, 2), (2, 3), (5, 4), (7, 7), (8, 9), (9, 10), (10, 8), (11, 3)]),
-}
-TYPES = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "date": "DATE", "boolean": "BOOLEAN", "double": "DOUBLE"}
-
-
-def columns(name: str) -> list[tuple[str, str]]:
-    return [tuple(c.split()) for c in TABLES[name][0].split(", ")]
-
-
-def table(spark: SparkSession, name: str) -> DataFrame:
-    cols = columns(name)
-    raw = spark.createDataFrame(TABLES[name][1], ", ".join(f"`{c}` {'string' if t == 'date' else t}" for c, t in cols))
-    return raw.select(*(F.col(c).cast(t).alias(c) for c, t in cols))
-
-
-def literal(v: object) -> str:
-    return "NULL" if v is None else str(v) if isinstance(v, (bool, int, float)) else "'" + str(v).replace("'", "''") + "'"
-
-
-def with_tables(body: str, *used: str) -> str:
-    ctes = []
-    for name in used:
-        cols, rows = columns(name), ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in TABLES[name][1])
-        casts = ", ".join(f'CAST("{c}" AS {TYPES[t]}) AS "{c}"' for c, t in cols)
-        heads = ", ".join('"' + c + '"' for c, _ in cols)
-        ctes.append(f"{name} AS (SELECT {casts} FROM (VALUES {rows}) t({heads}))")
+#: name: (plan, its SQL, the tables that it takes)
+PLANS: dict[str, tuple[Callable[..., DataFrame], str, tuple[str, ...]]] = {}
+
+
+def with_tables(body: str, ctes: list[str]) -> str:
+    """``body`` with the tables in front."""
     body = body.strip()
     recursive, more = ("RECURSIVE ", body[15:]) if body.startswith("WITH RECURSIVE") else ("", body[5:] if body.startswith("WITH ") else None)
     return f"WITH {recursive}{', '.join(ctes)}" + (f", {more}" if more else f" {body}")
@@ -113,8 +33,9 @@ def with_tables(body: str, *used: str) -> str:
 
 def case(sql: str, *used: str) -> Callable[[Callable], Callable]:
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(table(spark, n) for n in used))
-        ORACLE_SQL[f.__name__] = with_tables(sql, *used)
+        PLANS[f.__name__] = (f, sql, used)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(derived.table(spark, sf_dir, n) for n in used))
+        ORACLE_SQL[f.__name__] = with_tables(sql, [derived.sql(n) for n in used])
         return f
 
     return add
@@ -242,22 +163,24 @@ PROFILE = "people p JOIN courses c ON c.person = p.person"
 
 
 @case("""WITH days AS (SELECT p.person, p.birth_date, c.course, c.item_seq, unnest(CASE WHEN c."end" > c.start THEN [c.start, c."end"] ELSE [c.start] END) AS d FROM people p JOIN courses c ON c.person = p.person WHERE c.start IS NOT NULL
-    ), told AS (SELECT d.course, r.rule_id, CASE r.rule_id
-        WHEN 1 THEN d < birth_date + INTERVAL 12 YEAR WHEN 2 THEN d < birth_date + INTERVAL 8 YEAR WHEN 3 THEN d >= birth_date + INTERVAL 65 YEAR
-        WHEN 4 THEN d >= birth_date + INTERVAL 19 YEAR WHEN 6 THEN d < birth_date + INTERVAL 96 MONTH END AS held
-    FROM days d JOIN age_rules r ON r.item_seq = d.item_seq)
-    SELECT course, rule_id, CASE WHEN bool_or(held) THEN 'hit' WHEN count(held) < count(*) THEN 'unknown' ELSE 'clear' END AS outcome FROM told GROUP BY course, rule_id""", "people", "courses", "age_rules")
+    ), parsed AS (SELECT *, len(regexp_extract_all(rule_value, '[0-9]+\\s*(세|개월|주|일)\\s*(미만|이하|이상|초과)')) AS k, TRY_CAST(regexp_extract(rule_value, '([0-9]+)\\s*(세|개월|주|일)\\s*(미만|이하|이상|초과)', 1) AS INTEGER) AS n,
+        regexp_extract(rule_value, '([0-9]+)\\s*(세|개월|주|일)\\s*(미만|이하|이상|초과)', 2) AS unit, regexp_extract(rule_value, '([0-9]+)\\s*(세|개월|주|일)\\s*(미만|이하|이상|초과)', 3) AS op FROM age_rules
+    ), told AS (SELECT d.course, r.rule_id, r.k, r.op, d.d, CASE unit WHEN '세' THEN birth_date + to_years(m) WHEN '개월' THEN birth_date + to_months(m) WHEN '주' THEN birth_date + to_days(7 * m) ELSE birth_date + to_days(m) END AS bound
+        FROM days d JOIN (SELECT *, CASE WHEN op IN ('이하', '초과') THEN n + 1 ELSE n END AS m FROM parsed) r ON r.item_seq = d.item_seq
+    ), held AS (SELECT course, rule_id, CASE WHEN k = 1 THEN CASE WHEN op IN ('미만', '이하') THEN d < bound ELSE d >= bound END END AS held FROM told)
+    SELECT course, rule_id, CASE WHEN bool_or(held) THEN 'hit' WHEN count(held) < count(*) THEN 'unknown' ELSE 'clear' END AS outcome FROM held GROUP BY course, rule_id""", "people", "courses", "age_rules")
 def age_contraindication(people, courses, age_rules):
     rows = people.join(courses.filter("start IS NOT NULL"), "person").join(age_rules, "item_seq")
     rows = rows.withColumn("dates", safety.evaluation_dates(F.col("start"), F.col("end"), F.lit(None).cast("date")))
     return safety.age_risks(rows).select("course", "rule_id", "outcome")
 
 
-@case("""WITH g AS (SELECT p.person, r.item_seq, r.rule_id, regexp_extract(r.rule_value, '([12])\\s*등급', 1) AS grade, regexp_matches(r.rule_value, '[12]\\s*등급\\s*\\(') AS cond
-    FROM people p CROSS JOIN grades r WHERE p.pregnancy_status = 'pregnant'), s AS (SELECT *, count(DISTINCT grade) OVER (PARTITION BY person, item_seq) AS n, min(rule_id) OVER (PARTITION BY person, item_seq) AS f FROM g)
-    SELECT person, item_seq, rule_id, CASE WHEN n > 1 THEN 'unknown' WHEN cond THEN 'conditional' ELSE 'hit' END AS outcome FROM s WHERE n = 1 OR rule_id = f""", "people", "grades")
-def pregnancy_risks(people, grades):
-    return safety.pregnancy_risks(grades.join(F.broadcast(people.filter("pregnancy_status = 'pregnant'")), F.lit(True)))
+@case("""WITH g AS (SELECT DISTINCT p.person, r.item_seq, r.rule_id, regexp_extract(r.rule_value, '([12])\\s*등급', 1) AS grade, regexp_matches(r.rule_value, '[12]\\s*등급\\s*\\(') AS cond
+    FROM people p JOIN courses c ON c.person = p.person JOIN grades r ON r.item_seq = c.item_seq WHERE p.pregnancy_status = 'pregnant'), s AS (SELECT *, count(DISTINCT grade) OVER (PARTITION BY person, item_seq) AS n, min(rule_id) OVER (PARTITION BY person, item_seq) AS f FROM g)
+    SELECT person, item_seq, rule_id, CASE WHEN n > 1 THEN 'unknown' WHEN cond THEN 'conditional' ELSE 'hit' END AS outcome FROM s WHERE n = 1 OR rule_id = f""", "people", "courses", "grades")
+def pregnancy_risks(people, courses, grades):
+    taken = people.filter("pregnancy_status = 'pregnant'").join(courses.select("person", "item_seq").distinct(), "person")
+    return safety.pregnancy_risks(grades.join(taken, "item_seq"))
 
 
 @case("""SELECT p.person, c.course FROM people p JOIN courses c ON c.person = p.person WHERE greatest(c.start, coalesce(c."end", c.start)) >= p.birth_date + INTERVAL 65 YEAR""", "people", "courses")
@@ -273,17 +196,26 @@ def category_escalation(criteria):
     return own.select("criterion_id", F.when(any_ == 1, "conditional").otherwise("plain").alias("status"))
 
 
-@case("""SELECT rule_id, CASE WHEN rule_id IN (2, 3, 5, 7) THEN 'structured' WHEN rule_id = 1 THEN 'default' ELSE 'not_evaluable' END AS status,
-    CASE WHEN evaluator = 'minimum_separation' OR contains(details, '시간 이내') THEN 'minimum_separation' WHEN mode = 'runtime_evaluable' THEN 'unknown_contract_evaluator' WHEN mode = 'review_required' THEN 'review_required_condition'
-         WHEN rule_id IN (3, 5) THEN 'washout_after' WHEN contains(details, '후') THEN 'post_course_restriction' ELSE 'course_overlap' END AS kind,
-    CASE WHEN evaluator = 'minimum_separation' THEN hours WHEN contains(details, '시간 이내') THEN CAST(regexp_extract(details, '([0-9]+)\\s*시간', 1) AS INTEGER) WHEN rule_id = 3 THEN 2 * 168 WHEN rule_id = 5 THEN 3 * 24 END AS hours,
-    CASE WHEN rule_id = 3 THEN 'left' WHEN rule_id = 5 THEN 'right' END AS source_side FROM windows""", "windows")
+TIMED = """read AS (
+    SELECT *, trim(regexp_replace(coalesce(details, ''), '\\s+', ' ', 'g')) AS t FROM windows
+    ), cut AS (SELECT *, TRY_CAST(regexp_extract(t, '([0-9]+)\\s*시간\\s*이내', 1) AS INTEGER) AS within, TRY_CAST(regexp_extract(t, '^(.*?)(투여|복용)\\s*(중단|종료)\\s*후\\s*([0-9]+)\\s*(시간|일|주)', 4) AS INTEGER) AS after,
+        regexp_extract(t, '^(.*?)(투여|복용)\\s*(중단|종료)\\s*후\\s*([0-9]+)\\s*(시간|일|주)', 5) AS unit, regexp_extract_all(lower(regexp_extract(t, '^(.*?)(투여|복용)\\s*(중단|종료)\\s*후\\s*([0-9]+)\\s*(시간|일|주)', 1)), '[0-9a-z가-힣]+') AS s,
+        regexp_extract_all(lower(coalesce(left_name, '')), '[0-9a-z가-힣]+') AS l, regexp_extract_all(lower(coalesce(right_name, '')), '[0-9a-z가-힣]+') AS r FROM read
+    ), sides AS (SELECT *, len(s) > 0 AND len(l) > 0 AND (list_has_all(l, s) OR list_has_all(s, l)) AS by_left, len(s) > 0 AND len(r) > 0 AND (list_has_all(r, s) OR list_has_all(s, r)) AS by_right FROM cut
+    ), timed AS (SELECT rule_id, item_seq, CASE WHEN evaluator = 'minimum_separation' THEN 'minimum_separation' WHEN mode = 'runtime_evaluable' AND evaluator NOT IN ('minimum_separation', 'excluded_route') THEN 'unknown_contract_evaluator'
+        WHEN mode = 'review_required' THEN 'review_required_condition' WHEN within IS NOT NULL THEN 'minimum_separation' WHEN after IS NOT NULL AND by_left <> by_right THEN 'washout_after'
+        WHEN after IS NOT NULL OR regexp_matches(t, '(중단|종료) ?후') THEN 'post_course_restriction' ELSE 'course_overlap' END AS kind,
+        CASE WHEN evaluator = 'minimum_separation' THEN coalesce(hours, 0) WHEN mode IS NOT NULL THEN NULL WHEN within IS NOT NULL THEN within WHEN after IS NOT NULL AND by_left <> by_right THEN after * CASE unit WHEN '주' THEN 168 WHEN '일' THEN 24 ELSE 1 END END AS hours,
+        CASE WHEN evaluator IS NULL AND mode IS NULL AND within IS NULL AND after IS NOT NULL AND by_left <> by_right THEN CASE WHEN by_left THEN 'left' ELSE 'right' END END AS source_side FROM sides)"""
+
+
+@case("WITH " + TIMED + """ SELECT rule_id, CASE WHEN kind IN ('minimum_separation', 'washout_after') THEN 'structured' WHEN kind = 'course_overlap' THEN 'default' ELSE 'not_evaluable' END AS status, kind, hours, source_side FROM timed""", "windows")
 def interaction_timing(windows):
     t = safety.timing(*(F.col(c) for c in ("details", "left_name", "right_name", "evaluator", "hours", "mode")))
     return windows.select("rule_id", t.alias("t")).select("rule_id", "t.*")
 
 
-PAIRED = """pairs_of AS (SELECT a.person, a.course AS a, b.course AS b, a.start AS a0, a."end" AS a1, b.start AS b0, b."end" AS b1 FROM courses a JOIN courses b ON a.person = b.person AND a.side = 'left' AND b.side = 'right')"""
+PAIRED = """pairs_of AS (SELECT a.person, a.item_seq, a.course AS a, b.course AS b, a.start AS a0, a."end" AS a1, b.start AS b0, b."end" AS b1 FROM courses a JOIN courses b ON a.person = b.person AND a.side = 'left' AND b.side = 'right')"""
 
 
 @case("WITH " + PAIRED + " SELECT a, b, CASE WHEN a0 IS NULL OR b0 IS NULL THEN NULL ELSE a0 <= coalesce(b1, DATE '9999-12-31') AND b0 <= coalesce(a1, DATE '9999-12-31') END AS overlaps FROM pairs_of", "courses")
@@ -293,22 +225,22 @@ def course_overlap_three_valued(courses):
 
 
 def course_pairs(courses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(courses.filter(F.col("side") == s).select("person", F.col("course").alias(k), F.col("start").alias(k + "0"), F.col("end").alias(k + "1")) for s, k in (("left", "a"), ("right", "b")))
+    """Left courses with their item, and right ones."""
+    return tuple(courses.filter(F.col("side") == s).select("person", *(["item_seq"] if s == "left" else []), F.col("course").alias(k), F.col("start").alias(k + "0"), F.col("end").alias(k + "1")) for s, k in (("left", "a"), ("right", "b")))
 
 
-@case("WITH " + PAIRED + """, x AS (SELECT *, a0 IS NULL OR b0 IS NULL OR (a0 <= coalesce(b1, DATE '9999-12-31') AND b0 <= coalesce(a1, DATE '9999-12-31')) AS o FROM pairs_of)
-    SELECT a, b, rule_id, CASE WHEN o THEN true WHEN rule_id = 1 THEN false WHEN rule_id IN (4, 6, 8, 9) THEN true
-        WHEN rule_id IN (2, 7) THEN greatest(coalesce(b0 - a1, a0 - b1) - 1, 0) * 24 < CASE rule_id WHEN 2 THEN 24 ELSE 48 END AND (a1 < b0 OR b1 < a0)
-        WHEN rule_id = 3 THEN coalesce(b0 > a1 AND (b0 - a1 - 1) * 24 < 336, false)
-        ELSE coalesce(a0 > b1 AND (a0 - b1 - 1) * 24 < 72, false) END AS applies FROM x CROSS JOIN windows""".replace("coalesce(b0 - a1, a0 - b1)", "CASE WHEN a1 < b0 THEN b0 - a1 ELSE a0 - b1 END"), "courses", "windows")
+@case("WITH " + PAIRED + ", " + TIMED + """, x AS (SELECT p.*, t.rule_id, t.kind, t.hours, t.source_side, a0 IS NULL OR b0 IS NULL OR (a0 <= coalesce(b1, DATE '9999-12-31') AND b0 <= coalesce(a1, DATE '9999-12-31')) AS o FROM pairs_of p JOIN timed t ON t.item_seq = p.item_seq),
+    y AS (SELECT *, CASE WHEN source_side = 'left' THEN a0 ELSE b0 END AS s0, CASE WHEN source_side = 'left' THEN a1 ELSE b1 END AS s1, CASE WHEN source_side = 'left' THEN b0 ELSE a0 END AS t0, CASE WHEN source_side = 'left' THEN b1 ELSE a1 END AS t1 FROM x)
+    SELECT a, b, rule_id, o OR CASE kind WHEN 'course_overlap' THEN false WHEN 'minimum_separation' THEN CASE WHEN a1 < b0 THEN greatest(b0 - a1 - 1, 0) * 24 < hours WHEN b1 < a0 THEN greatest(a0 - b1 - 1, 0) * 24 < hours ELSE true END
+        WHEN 'washout_after' THEN CASE WHEN s1 IS NULL THEN coalesce(t1 >= s0, true) ELSE t0 > s1 AND greatest(t0 - s1 - 1, 0) * 24 < hours END ELSE true END AS applies FROM y""", "courses", "windows")
 def timing_applies(courses, windows):
     x, y = course_pairs(courses)
     t = safety.timing(*(F.col(c) for c in ("details", "left_name", "right_name", "evaluator", "hours", "mode")))
-    rows = x.join(y, "person").join(F.broadcast(windows.withColumn("t", t)), F.lit(True))
+    rows = x.join(y, "person").join(windows.select("rule_id", "item_seq", t.alias("t")), "item_seq")
     return rows.select("a", "b", "rule_id", safety.timing_applies(F.col("t"), (F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1")), F.lit("left")).alias("applies"))
 
 
-@case("""SELECT a.person, a.course AS a, b.course AS b, g.grp, bool_or(g.review OR h.review OR (g.excluded_route = 'oral' AND g.form IS NULL) OR (h.excluded_route = 'oral' AND h.form IS NULL)) AS review
+@case("""SELECT a.person, a.course AS a, b.course AS b, g.grp, bool_or(g.review OR h.review OR (coalesce(g.excluded_route, '') = 'oral' AND g.form IS NULL) OR (coalesce(h.excluded_route, '') = 'oral' AND h.form IS NULL)) AS review
     FROM courses a JOIN courses b ON a.person = b.person AND a.course < b.course JOIN groups g ON g.item_seq = a.item_seq JOIN groups h ON h.item_seq = b.item_seq AND h.grp = g.grp
     WHERE NOT coalesce(g.excluded_route = 'oral' AND g.form IN ('정제', '캡슐제'), false) AND NOT coalesce(h.excluded_route = 'oral' AND h.form IN ('정제', '캡슐제'), false) GROUP BY ALL""", "courses", "groups")
 def therapeutic_duplication(courses, groups):
@@ -328,21 +260,29 @@ def resolved_rows(product_rules, products, code_map, components, criteria, allow
     return linked.unionByName(direct.select("id", "item_seq", F.lit(False).alias("linked")))
 
 
-@case("""SELECT draft, CASE WHEN count(rule_value) = 0 AND NOT bool_or(unlinked) THEN 'not_applicable' WHEN count(rule_value) = 0 OR bool_or(review) OR max(days) IS NULL THEN 'not_evaluable'
-    WHEN count(*) FILTER (rule_value NOT IN ('28일', '2주')) > 0 OR count(DISTINCT rule_value) <> 1 THEN 'not_evaluable' WHEN max(days) > max(CASE rule_value WHEN '28일' THEN 28 ELSE 14 END) THEN 'exceeded' ELSE 'within' END AS result,
-    CASE WHEN count(rule_value) > 0 AND bool_or(review) THEN 'conditional' END AS status FROM durations GROUP BY draft""", "durations")
+@case("""WITH p AS (SELECT *, CASE WHEN regexp_full_match(rule_value, '0*[1-9][0-9]*(일|주)?') THEN CAST(regexp_extract(rule_value, '[0-9]+') AS BIGINT) * CASE WHEN rule_value LIKE '%주' THEN 7 ELSE 1 END END AS lim FROM durations),
+    g AS (SELECT draft, any_value(days) AS days, unlinked, count(rule_value) AS n, bool_or(coalesce(review, false)) AS review, count(DISTINCT lim) AS kinds, max(lim) AS lim, count(*) FILTER (rule_value IS NOT NULL AND lim IS NULL) AS unread FROM p GROUP BY draft, unlinked)
+    SELECT draft, CASE WHEN n = 0 AND NOT unlinked THEN 'not_applicable' WHEN n = 0 OR review OR days IS NULL OR days <= 0 OR unread > 0 OR kinds <> 1 THEN 'not_evaluable' WHEN days > lim THEN 'exceeded' ELSE 'within' END AS result,
+    CASE WHEN n > 0 AND review THEN 'conditional' END AS status FROM g""", "durations")
 def duration_check(durations):
     return safety.duration_check(durations, ["draft"])
 
 
-@case("""SELECT draft, CASE WHEN rule_value IS NULL THEN 'not_applicable' WHEN draft IN (5, 7, 8) THEN 'not_evaluable' WHEN CAST(amount AS DECIMAL(18, 4)) * frequency > CASE draft WHEN 3 THEN 1500 WHEN 4 THEN 4 ELSE 100 END THEN 'exceeded' ELSE 'within' END AS result FROM doses""", "doses")
+LIMITS = """limits AS (
+    SELECT *, regexp_extract(plain, '([0-9.]+)(mg|g|마이크로그램|정|캡슐)', 1) AS number, regexp_extract(plain, '([0-9.]+)(mg|g|마이크로그램|정|캡슐)', 2) AS of FROM (SELECT *, replace(rule_value, ',', '') AS plain FROM doses)
+    ), dosed AS (SELECT *, CASE WHEN plain NOT LIKE '%또는%' THEN CAST(number AS DECIMAL(18, 6)) * CASE of WHEN 'g' THEN 1000 WHEN '마이크로그램' THEN 0.001 ELSE 1 END END AS most, CASE WHEN of IN ('정', '캡슐') THEN of ELSE 'mg' END AS most_unit FROM limits
+    ), checked AS (SELECT *, CASE WHEN rule_value IS NULL THEN 'not_applicable' WHEN most IS NULL OR amount IS NULL OR coalesce(frequency, 0) <= 0 OR unit IS DISTINCT FROM most_unit THEN 'not_evaluable'
+        WHEN CAST(amount AS DECIMAL(18, 6)) * frequency > most THEN 'exceeded' ELSE 'within' END AS result FROM dosed)"""
+
+
+@case("WITH " + LIMITS + " SELECT draft, result FROM checked", "doses")
 def dose_check(doses):
     return safety.dose_check(doses).select("draft", "result")
 
 
-@case("""SELECT d.draft, p.person, CASE WHEN date_diff('year', birth_date, DATE '2024-12-31') < 19 AND d.rule_value IS NOT NULL AND d.draft IN (1, 3) THEN 'not_evaluable' WHEN d.draft IN (1, 3) THEN 'within' ELSE 'exceeded' END AS result FROM doses d CROSS JOIN people p WHERE d.draft <= 4""", "doses", "people")
+@case("WITH " + LIMITS + """ SELECT draft, d.person, CASE WHEN birth_date > DATE '2024-12-31' - INTERVAL 19 YEAR AND result IN ('within', 'not_applicable') THEN 'not_evaluable' ELSE result END AS result FROM checked d JOIN people p ON p.person = d.person""", "doses", "people")
 def pediatric_override(doses, people):
-    rows = safety.dose_check(doses.filter("draft <= 4")).join(F.broadcast(people), F.lit(True))
+    rows = safety.dose_check(doses).join(people, "person")
     young = rules.completed_years(F.col("birth_date"), F.lit("2024-12-31").cast("date")) < safety.ADULT_AGE
     return rows.select("draft", "person", F.when(young & F.col("result").isin("within", "not_applicable"), "not_evaluable").otherwise(F.col("result")).alias("result"))
 
@@ -409,7 +349,7 @@ def prn_exactly_once(requests):
     return safety.exactly_once(requests).select("seq", "outcome")
 
 
-@case("""SELECT seq, CASE seq WHEN 4 THEN '2024-01-06' WHEN 5 THEN '2024-01-06' ELSE '2024-01-05' END AS day FROM requests""", "requests")
+@case("""SELECT seq, CAST(CAST(substr(replace("at", 'T', ' '), 1, 19) AS TIMESTAMP) + CASE WHEN "at" LIKE '%Z' THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END AS DATE)::VARCHAR AS day FROM requests""", "requests")
 def korean_dates(requests):
     zoned = F.col("at").rlike(r"(Z|[+-]\d\d:\d\d)$")
     text = F.when(zoned, F.col("at")).otherwise(F.concat("at", F.lit("+09:00")))
@@ -489,63 +429,60 @@ def canonical_checks(product_rules, products, criteria, components):
 @case("""WITH RECURSIVE both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
     SELECT id, min(other) AS component FROM reach GROUP BY id""", "edges")
 def connected_components(edges):
-    from posora.operators.graph import components
-
-    return components(edges)
-
-
-def over_texts(sql: str) -> Callable[[Callable], Callable]:
-    return case(sql, "texts")
+    return graph.components(edges)
 
 
-@over_texts("SELECT k, nullif(trim(text, E' \\t\\n'), '') AS value FROM texts WHERE k <= 3")
-def text_cleaned(texts):
-    return texts.filter("k <= 3").select("k", names.clean(F.col("text")).alias("value"))
+@case("SELECT k, nullif(trim(text, E' \\t\\n'), '') AS value FROM raw_texts", "raw_texts")
+def text_cleaned(raw_texts):
+    return raw_texts.select("k", names.clean(F.col("text")).alias("value"))
 
 
-@over_texts("SELECT k, CASE WHEN k IN (4, 5) THEN '2020-01-31' ELSE text END AS value FROM texts WHERE k BETWEEN 4 AND 6")
-def date_texts(texts):
-    return texts.filter("k BETWEEN 4 AND 6").select("k", names.date_text(F.col("text")).alias("value"))
+@case("""SELECT k, CASE WHEN length(d) = 8 THEN d[1:4] || '-' || d[5:6] || '-' || d[7:8] ELSE nullif(trim(text), '') END AS value FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM date_lines)""", "date_lines")
+def date_texts(date_lines):
+    return date_lines.select("k", names.date_text(F.col("text")).alias("value"))
 
 
-@over_texts("SELECT k, CASE text WHEN '정상' THEN 'active' WHEN '취하' THEN 'withdrawn' ELSE 'unknown' END AS status FROM texts WHERE k BETWEEN 7 AND 9")
-def permit_statuses(texts):
-    return texts.filter("k BETWEEN 7 AND 9").select("k", rules.permit_status(F.col("text"), F.lit(None).cast("string")).alias("status"))
+@case("""SELECT k, coalesce(s.status, CASE WHEN trim(coalesce(day, '')) <> '' THEN 'inactive_unknown' ELSE 'unknown' END) AS status FROM status_lines t
+    LEFT JOIN (VALUES ('정상', 'active'), ('유효기간만료', 'expired'), ('취하', 'withdrawn'), ('폐업', 'business_closed'), ('행정(취소)', 'canceled'), ('취소', 'canceled')) s(name, status) ON s.name = trim(t.text)""", "status_lines")
+def permit_statuses(status_lines):
+    return status_lines.select("k", rules.permit_status(F.col("text"), F.col("day")).alias("status"))
 
 
-@over_texts("SELECT DISTINCT k, trim(part) AS code FROM (SELECT k, unnest(string_split(text, ',')) AS part FROM texts WHERE k = 10) WHERE trim(part) <> ''")
-def exploded_codes(texts):
-    return texts.filter("k = 10").select("k", F.explode(names.code_list(F.col("text"))).alias("code"))
+@case("SELECT DISTINCT k, trim(part) AS code FROM (SELECT k, unnest(string_split(text, ',')) AS part FROM code_lines) WHERE trim(part) <> ''", "code_lines")
+def exploded_codes(code_lines):
+    return code_lines.select("k", F.explode(names.code_list(F.col("text"))).alias("code"))
 
 
-@over_texts("SELECT k, CASE k WHEN 11 THEN 28 WHEN 12 THEN 14 END::BIGINT AS days FROM texts WHERE k BETWEEN 11 AND 14")
-def duration_texts(texts):
-    return texts.filter("k BETWEEN 11 AND 14").select("k", rules.duration_days(F.col("text"))["days"].alias("days"))
+@case("""SELECT k, CASE WHEN regexp_full_match(text, '0*[1-9][0-9]*( ?일)?') THEN n WHEN regexp_full_match(text, '0*[1-9][0-9]*주') THEN n * 7 END AS days FROM (SELECT *, TRY_CAST(regexp_extract(text, '^[0-9]+') AS BIGINT) AS n FROM duration_lines)""", "duration_lines")
+def duration_texts(duration_lines):
+    return duration_lines.select("k", rules.duration_days(F.col("text"))["days"].alias("days"))
 
 
-@over_texts("SELECT k, CAST(regexp_extract(text, '([12])\\s*등급', 1) AS INTEGER) AS grade, k = 15 AS conditional FROM texts WHERE k IN (15, 16)")
-def pregnancy_grades(texts):
-    return texts.filter("k IN (15, 16)").select("k", rules.pregnancy_grade(F.col("text")).alias("g")).select("k", "g.*")
+@case("""SELECT rule_id AS k, TRY_CAST(regexp_extract(rule_value, '([12])\\s*등급', 1) AS INTEGER) AS grade, regexp_matches(rule_value, '[12]\\s*등급\\s*\\(') AS conditional FROM grades""", "grades")
+def pregnancy_grades(grades):
+    return grades.select(F.col("rule_id").alias("k"), rules.pregnancy_grade(F.col("rule_value")).alias("g")).select("k", "g.*")
 
 
-@over_texts("SELECT k, CASE k WHEN 18 THEN 0.75 WHEN 19 THEN 2.5 WHEN 20 THEN 1.0 END::DOUBLE AS value FROM texts WHERE k BETWEEN 18 AND 20")
-def role_values(texts):
-    return texts.filter("k BETWEEN 18 AND 20").select("k", forms.role_value(F.col("text")).cast("double").alias("value"))
+@case("""SELECT k, coalesce(CASE WHEN b <> 0 THEN a / b END, TRY_CAST(regexp_extract(t, '[0-9]+(\\.[0-9]+)?') AS DOUBLE)) AS value
+    FROM (SELECT *, TRY_CAST(regexp_extract(t, '([0-9]+)/([0-9]+)', 1) AS DOUBLE) AS a, TRY_CAST(regexp_extract(t, '([0-9]+)/([0-9]+)', 2) AS DOUBLE) AS b FROM (SELECT k, replace(text, ' ', '') AS t FROM role_lines))""", "role_lines")
+def role_values(role_lines):
+    return role_lines.select("k", forms.role_value(F.col("text")).cast("double").alias("value"))
 
 
-@over_texts("SELECT k, unnest(regexp_extract_all(text, '\\[([A-Z]\\d{6})\\]', 1)) AS code FROM texts WHERE k = 21")
-def mixture_codes(texts):
-    return texts.filter("k = 21").select("k", F.explode(compositions.mixture(F.col("text"))["entries"]).alias("e")).select("k", "e.code")
+@case("""WITH x AS (SELECT k, regexp_extract_all(text, '\\[([A-Z]\\d{6})\\]', 1) AS c FROM mixture_lines WHERE text LIKE '[%') SELECT k, unnest(c) AS code FROM x WHERE len(c) = len(list_distinct(c))""", "mixture_lines")
+def mixture_codes(mixture_lines):
+    return mixture_lines.select("k", F.explode(compositions.mixture(F.col("text"))["entries"]).alias("e")).select("k", "e.code")
 
 
-@over_texts("SELECT k, CASE k WHEN 22 THEN '3600' WHEN 23 THEN '1500.0' WHEN 25 THEN '0.25' END AS value, CASE WHEN k <> 24 THEN 'mg' END AS unit, CASE WHEN k = 24 THEN 'not_evaluable' ELSE 'parsed' END AS status FROM texts WHERE k >= 22")
-def dose_thresholds(texts):
-    return texts.filter("k >= 22").select("k", rules.dose_threshold(F.col("text")).alias("d")).select("k", "d.value", "d.unit", "d.status")
+@case("WITH " + LIMITS + """ SELECT draft AS k, round(most, 3)::DOUBLE AS value, CASE WHEN most IS NOT NULL THEN most_unit END AS unit, CASE WHEN most IS NULL THEN 'not_evaluable' ELSE 'parsed' END AS status FROM dosed""", "doses")
+def dose_thresholds(doses):
+    return doses.select(F.col("draft").alias("k"), rules.dose_threshold(F.col("rule_value")).alias("d")).select("k", F.round(F.col("d.value").cast("double"), 3).alias("value"), "d.unit", "d.status")
 
 
-@case("""SELECT t.k, CASE WHEN count(n.substance_id) = 1 THEN 'selected' WHEN count(n.substance_id) > 1 THEN 'ambiguous' ELSE 'unsolved' END AS status, CASE WHEN count(n.substance_id) = 1 THEN max(n.substance_id) END AS substance_id
-    FROM (VALUES (1, 'alpha'), (2, 'gamma'), (3, 'delta')) t(k, text) LEFT JOIN known_names n ON n.name = t.text GROUP BY t.k""", "known_names")
-def entity_match(known_names):
-    wanted = known_names.sparkSession.createDataFrame([(1, "alpha"), (2, "gamma"), (3, "delta")], "k int, name string")
-    found = wanted.join(known_names, "name", "left").groupBy("k").agg(F.count("substance_id").alias("n"), F.max("substance_id").alias("one"))
-    return found.select("k", F.when(F.col("n") == 1, "selected").when(F.col("n") > 1, "ambiguous").otherwise("unsolved").alias("status"), F.when(F.col("n") == 1, F.col("one")).alias("substance_id"))
+@case("""WITH own AS (SELECT DISTINCT name FROM local_names), met AS (SELECT o.name, k.substance_id FROM own o JOIN (SELECT DISTINCT trim(regexp_replace(lower(name), '\\s+', ' ', 'g')) AS key, substance_id FROM known_names) k ON k.key = trim(regexp_replace(lower(o.name), '\\s+', ' ', 'g')))
+    SELECT o.name, CASE count(m.substance_id) WHEN 0 THEN 'unsolved' WHEN 1 THEN 'selected' ELSE 'ambiguous' END AS status, count(m.substance_id) AS n, min(m.substance_id) AS substance_id FROM own o LEFT JOIN met m ON m.name = o.name GROUP BY o.name""", "local_names", "known_names")
+def entity_match(local_names, known_names):
+    """Names by the matching cascade, without reviewed aliases."""
+    aliases = known_names.select(F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("evidence_name"), "substance_id").limit(0)
+    found = matching.matched(local_names, known_names, aliases)
+    return found.groupBy("name").agg(F.min("status").alias("status"), F.count("substance_id").alias("n"), F.min("substance_id").alias("substance_id"))

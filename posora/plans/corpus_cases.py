@@ -1,4 +1,4 @@
-"""The plans around recognition corpora and reports, over small tables that they bring along, each with its SQL."""
+"""The plans around recognition corpora and reports, each with its SQL; see ``cases``."""
 
 from __future__ import annotations
 
@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 from posora.functions import forms, names
 from posora.plans import cases
 
-cases.TABLES.update({
-    "samples": ("id string, family string, split string, tags string, errors int, chars int, expected int, found int, text string", [("a", "f1", "train", "hard,blur", 2, 20, 4, 4, "가나1"), ("b", "f1", "test", "", 0, 10, 0, 0, "AB"), ("c", "f2", "test", "hard", 5, 10, 3, 1, "다 2정"), ("d", "f3", "val", "blur", 0, 0, 2, 2, None), ("e", "f2", "train", "hard", 1, 4, 1, 0, "z@")]),
-    "predicted": ("id string, text string, score double", [("a", "가나1", 0.9), ("b", "AC", 0.5), ("c", "다 2정", 0.8), ("x", "?", 0.1)]),
-    "exposed": ("family string, source string", [("f1", "old"), ("f9", "old")]),
-    "boxes": ("doc string, box string, x0 double, y0 double, x1 double, y1 double", [("d1", "b1", 10.0, 5.0, 20.0, 9.0), ("d1", "b2", 1.0, 5.0, 8.0, 9.0), ("d1", "b3", 0.0, 1.0, 4.0, 3.0), ("d2", "b4", 2.0, 2.0, 6.0, 4.0), ("d2", "b5", 3.0, 2.0, 7.0, 4.0)]),
-    "fields": ("doc string, field string, wanted string, got string", [("d1", "dose", "1정", "1정"), ("d1", "days", "3", "4"), ("d1", "route", None, "oral"), ("d2", "dose", "2정", None), ("d2", "days", None, None), ("d2", "route", "oral", "oral")]),
-    "models": ("model string, gate boolean, recall double, precision double, latency double", [("m1", True, 0.9, 0.8, 12.0), ("m2", True, 0.9, 0.85, 30.0), ("m3", False, 0.99, 0.9, 5.0), ("m4", True, 0.9, 0.8, 10.0)]),
-    "metrics": ("metric string, value double, least double, most double", [("recall", 0.91, 0.9, None), ("cer", 0.06, None, 0.05), ("precision", 0.8, 0.8, None), ("latency", None, None, 100.0)]),
-    "checks": ("med string, category string, state string, label string", [("m1", "age", "hit", "연령"), ("m1", "split", "hit", "분할불가"), ("m2", "dose", "unknown", "용량"), ("m3", "dose", "clear", "용량"), ("m4", "age", "conditional", "연령")]),
-    "evidence": ("substance string, dataset string, priority int, name string, rows int", [("S1", "b", 2, "Alpha", 3), ("S1", "a", 1, "알파", 2), ("S1", "a", 1, "alpha", 4), ("S2", "c", 5, "Beta", 1), ("S2", "c", 5, "beta ", 2)]),
-    "current": ("person string, med string, mapped boolean, start date, end date", [("A", "m1", False, "2024-01-05", None), ("A", "m2", True, "2024-01-01", "2024-01-02"), ("B", "m3", False, "2023-01-01", "2023-02-01"), ("C", "m4", True, "2024-01-01", None)]),
-})
 case = cases.case
 
 
@@ -53,10 +41,14 @@ def observed_characters(samples):
     return samples.filter("text IS NOT NULL").select("split", F.explode(F.split("text", "")).alias("c")).distinct()
 
 
-@case("SELECT id, CASE WHEN text IS NULL THEN 'empty' WHEN length(text) > 4 THEN 'overlength' WHEN NOT regexp_full_match(text, '[가나다AB12정 ]*') THEN 'unknown_character' ELSE 'fits' END AS class FROM samples", "samples")
-def model_compatibility(samples):
-    strange = F.size(F.array_except(F.split("text", ""), F.array(*map(F.lit, "가나다AB12정 ")))) > 0
-    return samples.select("id", F.when(F.col("text").isNull(), "empty").when(F.length("text") > 4, "overlength").when(strange, "unknown_character").otherwise("fits").alias("class"))
+#: The longest label and the characters of the model's dictionary.
+LONGEST, DICTIONARY = 10, "abcdefghilmnorst 가나다"
+
+
+@case(f"SELECT id, CASE WHEN text IS NULL THEN 'empty' WHEN length(text) > {LONGEST} THEN 'overlength' WHEN NOT regexp_full_match(text, '[{DICTIONARY}]*') THEN 'unknown_character' ELSE 'fits' END AS class FROM labels_t", "labels_t")
+def model_compatibility(labels_t):
+    strange = F.size(F.array_except(F.split("text", ""), F.array(*map(F.lit, DICTIONARY)))) > 0
+    return labels_t.select("id", F.when(F.col("text").isNull(), "empty").when(F.length("text") > LONGEST, "overlength").when(strange, "unknown_character").otherwise("fits").alias("class"))
 
 
 @case("SELECT split, id || chr(9) || coalesce(text, '') AS line FROM samples", "samples")
@@ -134,7 +126,7 @@ def badges(checks):
     )
 
 
-@case("""SELECT substance, arg_min(name, priority * 1000000 + ascii(dataset) * 1000 + CASE WHEN name = 'alpha' THEN 1 WHEN name = 'Beta' THEN 1 ELSE 2 END) AS name, sum(rows)::BIGINT AS rows FROM evidence GROUP BY substance""", "evidence")
+@case("""SELECT substance, max(name) FILTER (r = 1) AS name, sum(rows)::BIGINT AS rows FROM (SELECT *, row_number() OVER (PARTITION BY substance ORDER BY priority, dataset, name) AS r FROM evidence) GROUP BY substance""", "evidence")
 def best_evidence(evidence):
     return evidence.groupBy("substance").agg(F.min_by("name", F.struct("priority", "dataset", "name")).alias("name"), F.sum("rows").alias("rows"))
 
@@ -152,10 +144,11 @@ def unmapped_blocks_clear(current):
     return current.groupBy("person").agg(F.bool_or(may).alias("blocked"))
 
 
-@case("""SELECT sha256(sha256(sha256('' || 'm1') || 'm2') || 'm3') AS chain, count(*) AS n FROM models WHERE model < 'm4'""", "models")
+@case("""SELECT grp, list_reduce(list_prepend('', list(model ORDER BY model)), lambda a, x: sha256(a || x)) AS chain, count(*) AS n FROM models GROUP BY grp""", "models")
 def hash_chain(models):
-    own = models.filter("model < 'm4'").agg(F.array_sort(F.collect_list("model")).alias("list"))
-    return own.select(F.aggregate("list", F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x), 256)).alias("chain"), F.size("list").cast("long").alias("n"))
+    """A chain of digests over the ordered outputs of each group."""
+    own = models.groupBy("grp").agg(F.array_sort(F.collect_list("model")).alias("list"))
+    return own.select("grp", F.aggregate("list", F.lit(""), lambda acc, x: F.sha2(F.concat(acc, x), 256)).alias("chain"), F.size("list").cast("long").alias("n"))
 
 
 @case("SELECT item_seq, CASE count(permit_form) WHEN 0 THEN 'unknown' ELSE CASE max(permit_form) WHEN '주사제' THEN 'injection' ELSE 'oral' END END AS route FROM products GROUP BY item_seq", "products")

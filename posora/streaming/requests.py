@@ -10,9 +10,11 @@ def accepted(requests: DataFrame, delay: str = "7 days") -> DataFrame:
     """The first row of each ``request`` id of a stream with an event time ``at``.
 
     Repeats that come within ``delay`` go; the state of older ids is dropped, so its size depends on the delay and not on
-    the stream's length. Null ids count as one id; rows without a time are left out.
+    the stream's length. A row without an id is a request of its own; rows without a time are left out.
     """
-    return requests.filter("at IS NOT NULL").withWatermark("at", delay).dropDuplicatesWithinWatermark(["request"])
+    own = F.coalesce(F.concat(F.lit("id:"), F.col("request")), F.expr("concat('none:', uuid())"))
+    timed = requests.filter("at IS NOT NULL").withColumn("_own", own).withWatermark("at", delay)
+    return timed.dropDuplicatesWithinWatermark(["_own"]).drop("_own")
 
 
 def daily_counts(requests: DataFrame, delay: str = "7 days") -> DataFrame:
