@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from posora.functions.arrays import let
 from posora.functions.names import clean
 
 # Status names, units, words that make a threshold conditional, patterns and reasons.
@@ -120,6 +121,80 @@ def age_rule_applies(rule: Column, birth: Column, as_of: Column) -> Column:
     return F.when(F.regexp_count(rule, F.lit(AGE_RULE)) == 1, held)
 
 
+# What a text must hold, and must not hold, for a form tag.
+FORM_TAGS = [
+    ("점안제", "점안", None), ("점이제", "점이", None), ("점비제", "점비", None), ("주사제", "주사|수액", None), ("흡입제", "흡입", None), ("크림제", "크림", None), ("연고제", "연고", None),
+    ("로션제", "로션", None), ("겔제", "겔", None), ("외용액제", "피부액|외용액", None), ("좌제", "좌제", None), ("경피흡수제", "경피흡수", None), ("첩부제", "첩부|카타플라스마", None),
+    ("구강정", "구강정", None), ("박칼정", "박칼정", None), ("설하정", "설하정", None), ("구강붕해필름", "구강붕해필름|구강용해필름", None), ("캡슐제", "캡슐", None),
+    ("정제", r"필름코팅정|나정|서방정|장용정|구강붕해정|다층정|저작정|츄어블정|당의정|발포정|(?:^|[,\s(])정제(?:$|[,\s)])", None),
+    ("시럽제", "시럽", None), ("과립제", "과립", None), ("세립제", "세립", None), ("산제", "산제", "외용|피부|주사"), ("액제", "액제", "점안|점이|점비|주사|피부|외용"),
+    ("액제", "경구.*액|액.*경구", None), ("경구제", "경구", "액"),
+]
+AGE_REASONS = ["missing", "unread", "product_form", "structure", "segment_form", "not_one"]
+
+
+def dosage_form_tags(c: Column) -> Column:
+    """The forms that a text speaks of, as a set of tags; none for null."""
+    text = F.trim(c)
+
+    def tagged(v: Column) -> Column:
+        has = [F.when(v.rlike("(?s)" + yes) & (~v.rlike(no) if no else F.lit(True)), tag) for tag, yes, no in FORM_TAGS]
+        return F.array_distinct(F.array_compact(F.array(*has)))
+
+    return F.coalesce(let(text, tagged), F.array().cast("array<string>"))
+
+
+def age_rule_by_form(rule: Column, form: Column, birth: Column, as_of: Column) -> Column:
+    """struct(applies, reason): whether a text's age rule holds on a day for a product of the given form.
+
+    One rule holds for every form. Of several each stands after its forms and a colon, and the one whose forms the
+    product has counts. Where that isn't clear, ``applies`` is null and ``reason`` says why: one of AGE_REASONS.
+    """
+    numbers, units, ops = (F.regexp_extract_all(rule, F.lit(AGE_RULE), i) for i in (1, 2, 3))
+    before = F.split(rule, AGE_RULE, -1)
+
+    def held(x: Column) -> Column:
+        n, unit, op = x["n"].try_cast("int"), x["unit"], x["op"]
+
+        def reaches(k: Column) -> Column:
+            day = F.when(unit == "세", F.add_months(birth, k * 12)).when(unit == "개월", F.add_months(birth, k))
+            return as_of >= day.when(unit == "주", F.date_add(birth, k * 7)).otherwise(F.date_add(birth, k))
+
+        below = F.when(op == "미만", ~reaches(n)).when(op == "이하", ~reaches(n + 1))
+        return below.when(op == "이상", reaches(n)).when(op == "초과", reaches(n + 1))
+
+    def zipped(i: Column) -> Column:
+        prefix = F.get(before, i)
+        forms = F.when(prefix.contains(":"), F.regexp_replace(prefix, r"(?s):[^:]*$", ""))
+        return F.struct(F.get(numbers, i).alias("n"), F.get(units, i).alias("unit"), F.get(ops, i).alias("op"), forms.alias("forms"))
+
+    count = F.size(numbers)
+    parts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), zipped))
+    tagged = F.transform(parts, lambda p: F.struct(p["n"].alias("n"), p["unit"].alias("unit"), p["op"].alias("op"), p["forms"].alias("forms"), dosage_form_tags(p["forms"]).alias("tags")))
+
+    def judged(v: Column) -> Column:
+        own = F.filter(v["parts"], lambda p: F.arrays_overlap(p["tags"], v["product"]))
+
+        def told(reason: str) -> Column:
+            return F.struct(F.lit(None).cast("boolean").alias("applies"), F.lit(reason).alias("reason"))
+
+        def holds(p: Column) -> Column:
+            return let(held(p), lambda h: F.struct(h.alias("applies"), F.when(h.isNull(), "unread").alias("reason")))
+
+        return (
+            F.when(F.coalesce(F.trim(v["rule"]), F.lit("")) == "", told("missing"))
+            .when(v["parts"].isNull(), told("unread"))
+            .when(F.size(v["parts"]) == 1, holds(v["parts"][0]))
+            .when(F.size(v["product"]) == 0, told("product_form"))
+            .when(F.exists(v["parts"], lambda p: p["forms"].isNull()), told("structure"))
+            .when(F.exists(v["parts"], lambda p: F.size(p["tags"]) == 0), told("segment_form"))
+            .when(F.size(own) != 1, told("not_one"))
+            .otherwise(holds(F.get(own, F.lit(0))))
+        )
+
+    return let(F.struct(rule.alias("rule"), tagged.alias("parts"), dosage_form_tags(form).alias("product")), judged)
+
+
 def course_progress(start: Column, end: Column, day: Column) -> Column:
     """struct(status, total_days, current_day, remaining_days, progress_percent) of a course on a day.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from posora.functions import names, rules
-from posora.operators import graph
+from posora.operators import graph, ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,13 +88,33 @@ def scope_union_counts(spark, sf_dir):
 """)
 def dictionary_encode(spark, sf_dir):
     part, nation = read(spark, sf_dir, "part"), read(spark, sf_dir, "nation")
-    values = part.select(F.explode(F.array("p_brand", "p_type")).alias("v")).union(nation.select("n_name")).filter("v IS NOT NULL").distinct()
-    coded = values.withColumn("id", F.row_number().over(W.orderBy("v")).cast("long"))  # one task: a dictionary of distinct names
-    brand, kind = coded.select(F.col("v").alias("bv"), F.col("id").alias("brand_id")), coded.select(F.col("v").alias("tv"), F.col("id").alias("type_id"))
+    coded = ordered.dictionary([(part, "p_brand"), (part, "p_type"), (nation, "n_name")])
+    brand, kind = coded.select(F.col("value").alias("bv"), F.col("id").alias("brand_id")), coded.select(F.col("value").alias("tv"), F.col("id").alias("type_id"))
     joined = part.join(brand, part["p_brand"] == brand["bv"]).join(kind, part["p_type"] == kind["tv"])
     return joined.select("p_partkey", "brand_id", "type_id", ((F.col("bv") == F.col("p_brand")) & (F.col("tv") == F.col("p_type"))).alias("decodes"))
 
 
+TWELVE = {"part": ["p_brand", "p_type", "p_name"], "nation": ["n_name"], "customer": ["c_mktsegment", "c_name"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "supplier": ["s_name"], "documents": ["source"]}
+
+
+@query(f"""
+    WITH vals AS ({" UNION ".join(f"SELECT {c} AS value FROM {t}" for t, cs in TWELVE.items() for c in cs)}), dict AS (SELECT value, row_number() OVER (ORDER BY value) AS id FROM vals WHERE value IS NOT NULL)
+    SELECT o_orderkey, s.id AS status_id, p.id AS priority_id, c.id AS customer_id, c.value AS customer FROM orders JOIN dict s ON s.value = o_orderstatus JOIN dict p ON p.value = o_orderpriority
+    JOIN customer ON c_custkey = o_custkey JOIN dict c ON c.value = c_name
+""")
+def dictionary_of_twelve(spark, sf_dir):
+    """Orders coded by one dictionary of twelve columns, with one of them decoded again."""
+    coded = ordered.dictionary([(read(spark, sf_dir, t), c) for t, cs in TWELVE.items() for c in cs])
+
+    def ids(col: str, name: str) -> DataFrame:
+        return coded.select(F.col("value").alias(col), F.col("id").alias(name))
+
+    rows = read(spark, sf_dir, "orders").join(ids("o_orderstatus", "status_id"), "o_orderstatus").join(ids("o_orderpriority", "priority_id"), "o_orderpriority")
+    named = rows.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey").join(ids("c_name", "customer_id"), "c_name")
+    view = coded.select(F.col("id").alias("customer_id"), F.col("value").alias("customer"))
+    return named.select("o_orderkey", "status_id", "priority_id", "customer_id").join(view, "customer_id").select("o_orderkey", "status_id", "priority_id", "customer_id", "customer")
+
+
 @query("""
     SELECT user_id, event_id, event_type, round(value, 6) AS value FROM
     (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1

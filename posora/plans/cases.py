@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from posora.functions import compositions, forms, names, rules
 from posora.operators import graph, matching
-from posora.plans import derived, linking, safety
+from posora.plans import derived, linking, safety, substances
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -486,3 +486,45 @@ def entity_match(local_names, known_names):
     aliases = known_names.select(F.lit(None).cast("string").alias("method"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("evidence_name"), "substance_id").limit(0)
     found = matching.matched(local_names, known_names, aliases)
     return found.groupBy("name").agg(F.min("status").alias("status"), F.count("substance_id").alias("n"), F.min("substance_id").alias("substance_id"))
+
+
+@case("""WITH names AS (SELECT DISTINCT lower(name) AS key FROM trusted_names),
+    parts AS (SELECT k, text, unnest(p) AS part, len(p) AS n FROM (SELECT k, trim(text) AS text, string_split(trim(text), '/') AS p FROM composition_lines WHERE trim(text) <> '' AND text NOT LIKE '%(%')
+        UNION ALL SELECT k, trim(text), trim(text), 1 FROM composition_lines WHERE text LIKE '%(%'),
+    told AS (SELECT k, text, any_value(n) AS n, bool_and(lower(trim(part)) IN (SELECT key FROM names)) AS sure FROM parts GROUP BY k, text)
+    SELECT DISTINCT p.k, lower(trim(p.part)) AS key, NULL AS reason FROM parts p JOIN told t ON t.k = p.k WHERE NOT (t.text LIKE '%/%' AND (t.n < 2 OR NOT t.sure))
+    UNION ALL SELECT k, NULL, 'ambiguous_composition_delimiter' FROM told WHERE text LIKE '%/%' AND (n < 2 OR NOT sure)""", "composition_lines", "trusted_names")
+def safe_compositions(composition_lines, trusted_names):
+    """Components of composition texts, and texts that can't be split for sure."""
+    found, unsure = substances.safe_slash_split(composition_lines, trusted_names, "k", "text")
+    return found.select("k", "key", F.lit(None).cast("string").alias("reason")).union(unsure.select("k", F.lit(None).cast("string"), "reason"))
+
+
+@case("""WITH one AS (SELECT key, min(external) AS external, bool_or(method = 'normalized_name_exact') AS exact FROM external_matches GROUP BY key HAVING count(DISTINCT external) = 1),
+    placed AS (SELECT k.key, o.external, o.exact, EXISTS (SELECT 1 FROM related_names r WHERE r.key = k.key) AS related,
+        'SUB_' || upper(substr(sha256(CASE WHEN o.external IS NULL THEN k.key ELSE 'UNII' || chr(0) || o.external END), 1, 20)) AS substance_id FROM (SELECT DISTINCT key FROM observations WHERE key IS NOT NULL) k LEFT JOIN one o ON o.key = k.key),
+    named AS (SELECT p.substance_id, coalesce(first(name_en ORDER BY length(name_en), lower(name_en), name_en) FILTER (name_en IS NOT NULL), first(name_ko ORDER BY length(name_ko), name_ko) FILTER (name_ko IS NOT NULL)) AS canonical_name
+        FROM observations o JOIN placed p ON p.key = o.key GROUP BY p.substance_id)
+    SELECT p.substance_id, n.canonical_name, CASE WHEN bool_or(p.external IS NOT NULL) THEN CASE WHEN bool_or(coalesce(p.exact, false)) THEN 'resolved_external_exact' ELSE 'resolved_external_structured' END
+        WHEN bool_or(related) THEN 'resolved_source_relation' ELSE 'local_exact_unsolved' END AS identity_status, count(*) AS n_names
+    FROM placed p JOIN named n ON n.substance_id = p.substance_id GROUP BY p.substance_id, n.canonical_name""", "observations", "external_matches", "related_names")
+def substance_groups(observations, external_matches, related_names):
+    return substances.grouped_substances(observations, external_matches, related_names)[0]
+
+
+@case("""WITH rows_of AS (SELECT c.course, p.birth_date, c.start AS d, r.rule_value, pr.permit_form FROM people p JOIN courses c ON c.person = p.person JOIN form_rules r ON r.item_seq = c.item_seq JOIN products pr ON pr.item_seq = c.item_seq WHERE c.start IS NOT NULL
+    ), cut AS (SELECT *, regexp_extract_all(rule_value, '([0-9]+)(세|개월|주|일) (미만|이하|이상|초과)', 1) AS n, regexp_extract_all(rule_value, '([0-9]+)(세|개월|주|일) (미만|이하|이상|초과)', 2) AS u, regexp_extract_all(rule_value, '([0-9]+)(세|개월|주|일) (미만|이하|이상|초과)', 3) AS o,
+        string_split_regex(rule_value, '[0-9]+(?:세|개월|주|일) (?:미만|이하|이상|초과)') AS s FROM rows_of
+    ), seg AS (SELECT *, list_transform(range(1, len(n) + 1), lambda i: {'n': n[i]::INT, 'u': u[i], 'o': o[i], 'colon': contains(s[i], ':'),
+        't': list_filter(['정제', '주사제', '캡슐제', '시럽제'], lambda f: contains(s[i], f[1:2])), 'own': permit_form IS NOT NULL AND contains(s[i], permit_form[1:2])}) AS p FROM cut
+    ), pick AS (SELECT *, CASE WHEN len(p) = 1 THEN p[1] WHEN permit_form IS NULL OR len(list_filter(p, lambda x: NOT x.colon OR len(x.t) = 0)) > 0 OR len(list_filter(p, lambda x: x.own)) <> 1 THEN NULL ELSE list_filter(p, lambda x: x.own)[1] END AS x,
+        CASE WHEN coalesce(rule_value, '') = '' THEN 'missing' WHEN len(p) = 0 THEN 'unread' WHEN len(p) = 1 THEN NULL WHEN permit_form IS NULL THEN 'product_form' WHEN len(list_filter(p, lambda x: NOT x.colon)) > 0 THEN 'structure'
+             WHEN len(list_filter(p, lambda x: len(x.t) = 0)) > 0 THEN 'segment_form' WHEN len(list_filter(p, lambda x: x.own)) <> 1 THEN 'not_one' END AS reason FROM seg
+    ), bound AS (SELECT *, CASE WHEN x.o IN ('이하', '초과') THEN x.n + 1 ELSE x.n END AS m FROM pick)
+    SELECT course, rule_value, CASE WHEN x IS NOT NULL THEN CASE WHEN x.o IN ('미만', '이하') THEN d < b ELSE d >= b END END AS applies, reason
+    FROM (SELECT *, CASE x.u WHEN '세' THEN birth_date + to_years(m) WHEN '개월' THEN birth_date + to_months(m) WHEN '주' THEN birth_date + to_days(7 * m) ELSE birth_date + to_days(m) END AS b FROM bound)""", "people", "courses", "form_rules", "products")
+def age_rules_by_form(people, courses, form_rules, products):
+    """Age rules whose texts differ by the form of the product."""
+    rows = people.join(courses.filter("start IS NOT NULL"), "person").join(form_rules, "item_seq").join(products, "item_seq")
+    told = rules.age_rule_by_form(F.col("rule_value"), F.col("permit_form"), F.col("birth_date"), F.col("start"))
+    return rows.select("course", "rule_value", told.alias("t")).select("course", "rule_value", "t.applies", "t.reason")

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from posora.functions import forms, names
+from posora.operators.ordered import numbered
 from posora.plans import cases
 
 case = cases.case
@@ -70,8 +71,8 @@ def family_leakage(samples):
 
 @case("SELECT id, CASE WHEN (row_number() OVER (ORDER BY id) - 1 + 3) % 10 < 8 THEN 'train' WHEN (row_number() OVER (ORDER BY id) - 1 + 3) % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM samples", "samples")
 def split_by_cycle(samples):
-    place = F.pmod(F.row_number().over(W.partitionBy(F.lit(1)).orderBy("id")) + 2, F.lit(10))
-    return samples.select("id", F.when(place < 8, "train").when(place == 8, "val").otherwise("test").alias("split"))
+    place = F.pmod(F.col("place") + 2, F.lit(10))
+    return numbered(samples.select("id"), [F.col("id")]).select("id", F.when(place < 8, "train").when(place == 8, "val").otherwise("test").alias("split"))
 
 
 @case("SELECT 'hist:' || id AS id, split FROM samples WHERE split = 'train' UNION ALL SELECT 'new:' || id, split FROM samples WHERE split <> 'train'", "samples")
@@ -107,8 +108,8 @@ def parse_metrics(fields):
 
 @case("SELECT model, row_number() OVER (ORDER BY gate DESC, recall DESC, precision DESC, latency, model) AS place FROM models", "models")
 def model_ranking(models):
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc("gate"), F.desc("recall"), F.desc("precision"), "latency", "model")
-    return models.select("model", F.row_number().over(order).alias("place"))
+    order = [F.desc("gate"), F.desc("recall"), F.desc("precision"), F.col("latency"), F.col("model")]
+    return numbered(models, order).select("model", "place")
 
 
 @case("SELECT metric, coalesce(value >= coalesce(least, value) AND value <= coalesce(most, value), false) AS passed FROM metrics", "metrics")

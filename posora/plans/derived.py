@@ -156,6 +156,25 @@ DERIVED: dict[str, tuple[str, str]] = {
     ),
     "known_names": ("substance_id string, name string, dataset string", "SELECT 'S' || p_partkey, p_name || ' ' || p_brand, p_type FROM {part}"),
     "local_names": ("name string", "SELECT upper(p_name) || '  ' || 'Brand#' || (p_size % 25 + 1) FROM {part}"),
+    "composition_lines": (
+        "k long, text string",
+        "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN ' ' || replace(p_name, ' ', ' / ') WHEN 2 THEN p_name || '/' || lower(p_type) WHEN 3 THEN p_name || ' (1/' || p_size || ')' WHEN 4 THEN replace(p_name, ' ', '/') || '/' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) ELSE ' ' END FROM {part}",
+    ),
+    "trusted_names": ("name string", "SELECT p_name FROM {part} WHERE p_size > 3 UNION ALL SELECT split_part(p_name, ' ', 1) FROM {part} WHERE p_type <> 'PROMO' UNION ALL SELECT split_part(p_name, ' ', 2) FROM {part} WHERE p_size < 40 UNION ALL SELECT lower(p_type) FROM {part} WHERE p_type IN ('PROMO', 'SMALL')"),
+    "observations": (
+        "key string, name_en string, name_ko string",
+        "SELECT lower(p_name) || ' ' || (p_size % 20), CASE WHEN p_partkey % 3 <> 0 THEN CASE p_partkey % 2 WHEN 0 THEN p_name || ' ' || p_brand ELSE upper(p_name) END END, '이름' || (p_size % 20) || p_type FROM {part}",
+    ),
+    "external_matches": (
+        "key string, external string, method string",
+        "SELECT lower(p_name) || ' ' || (p_size % 20), 'U' || (p_size % 4), CASE p_partkey % 4 WHEN 0 THEN 'normalized_name_exact' ELSE 'typo' END FROM {part} WHERE p_type IN ('PROMO', 'SMALL') AND p_size > 15",
+    ),
+    "related_names": ("key string", "SELECT lower(p_name) || ' ' || (p_size % 20) FROM {part} WHERE p_type = 'LARGE'"),
+    "form_rules": (
+        "rule_id long, item_seq string, rule_value string",
+        """SELECT p_partkey, 'P' || p_partkey, CASE p_partkey % 7 WHEN 0 THEN '정제, 캡슐제: ' || (p_size + 10) || '세 미만, 주사제: ' || p_size || '세 이하' WHEN 1 THEN '정제: 12세 미만, 시럽제: 24개월 미만' WHEN 2 THEN (p_size + 20) || '세 이상' WHEN 3 THEN '정제 6세 미만, 캡슐제: 12세 미만'
+        WHEN 4 THEN '가루: 6세 미만, 정제: 12세 미만' WHEN 5 THEN '해당없음' END FROM {part}""",
+    ),
     "edges": ("a long, b long", "SELECT p_partkey, (p_partkey * p_partkey + 3 * p_size) % 1999 FROM {part}"),
     "samples": (
         "id string, family string, split string, tags string, errors int, chars int, expected int, found int, text string",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from posora.functions.arrays import windows
-from posora.operators import digests, division, pairing, polygons, rule_table, slices, splits, token_matching
+from posora.operators import digests, division, ordered, pairing, polygons, rule_table, slices, splits, token_matching
 from posora.operators.layout import document_lines
 from posora.sources import contracts
 from posora.sources.published import ManifestError, Published
@@ -274,3 +274,16 @@ def test_contracts_name_each_broken_rule(spark, tmp_path):
     keyed = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", None), (None, "y"), (None, "z")], "k string, v string")
     assert sorted((r.k or "", r.n) for r in contracts.repeated_keys(keyed, ["k"]).collect()) == [("", 2), ("a", 2), ("b", 2)]
     assert sorted((r.k or "", r.n_values) for r in contracts.mixed_values(keyed, "k", "v").collect()) == [("", 2), ("b", 2)]
+
+
+def test_places_have_no_gaps(spark):
+    rng = random.Random(11)
+    rows = [(rng.randint(0, 50) if i % 7 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "v long, k long").repartition(7)
+    found = {r.k: r.place for r in ordered.numbered(df, [F.col("v").asc_nulls_first(), F.col("k")]).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert found == {k: i for i, (_, k) in enumerate(order, 1)}
+    ties = ordered.numbered(df, [F.col("v")]).collect()
+    assert sorted(r.place for r in ties) == list(range(1, 501))
+    assert ordered.numbered(df.limit(0), [F.col("v")]).count() == 0
+    assert [tuple(r) for r in ordered.dictionary([(df.limit(0), "v"), (spark.createDataFrame([(3,), (1,), (None,), (3,)], "x long"), "x")]).orderBy("id").collect()] == [(1, 1), (3, 2)]

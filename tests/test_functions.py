@@ -248,3 +248,20 @@ def test_regimens(spark):
         ("as  needed", ([], None, None, True)), ("오후 12시 30", (["12:00"], None, None, False)), ("AM 8am", none), ("귀에 점안", ([], None, "ophthalmic", False)),
     ]
     check(spark, forms.regimen, cases)
+
+
+def test_age_rules_by_form(spark):
+    cases = [
+        (None, "정제", None, "missing"), (" ", "정제", None, "missing"), ("해당없음", "정제", None, "unread"), ("12세 미만", None, True, None), ("8세 이하", "나정", False, None),
+        ("정제: 12세 미만, 시럽제: 24개월 미만", "필름코팅정", True, None), ("정제: 12세 미만, 시럽제: 24개월 미만", "시럽제", False, None), ("정제: 12세 미만, 시럽제: 24개월 미만", None, None, "product_form"),
+        ("정제: 12세 미만, 시럽제: 24개월 미만", "가루", None, "product_form"), ("정제: 12세 미만, 시럽제: 24개월 미만", "주사제", None, "not_one"), ("정제 12세 미만, 시럽제: 24개월 미만", "정제", None, "structure"),
+        ("가루: 12세 미만, 시럽제: 24개월 미만", "정제", None, "segment_form"), ("정제, 캡슐제: 3,650일 이상, 좌제: 1주 초과", "캡슐제", True, None), ("정제: 12세 미만, 정제: 3세 미만", "정제", None, "not_one"),
+        ("점안액제: 2세 미만, 경구용액: 12세 미만", "액제", True, None),
+    ]
+    rows = spark.createDataFrame([(i, r, f) for i, (r, f, _, _) in enumerate(cases)], "i int, r string, f string")
+    day = F.lit("2024-06-30").cast("date")
+    told = {x.i: (x.t.applies, x.t.reason) for x in rows.select("i", rules.age_rule_by_form(F.col("r"), F.col("f"), F.lit("2015-01-01").cast("date"), day).alias("t")).collect()}
+    for i, (r, f, applies, reason) in enumerate(cases):
+        assert told[i] == (applies, reason), (r, f, told[i])
+    unborn = rows.select(rules.age_rule_by_form(F.lit("1세 미만"), F.col("f"), F.lit(None).cast("date"), day).alias("t")).first().t
+    assert (unborn.applies, unborn.reason) == (None, "unread")
