@@ -118,6 +118,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     heads = rows.filter(F.col("id").isNotNull()).mapInPandas(prefixes, f"id {kind}, n int, head array<long>, bits array<long>, b0 long, b1 long, b2 long, b3 long")
     entries = scratch.save(heads.join(reps, "id", "left_semi"))
+    scratch.release()
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
     tokens = entries.withColumn("band", bands).select("id", "n", "band", F.posexplode("head").alias("pos", "token")).withColumn("c", F.col("id"))
     ends = entries.select("id", "n", "bits")
