@@ -81,12 +81,25 @@ def _lines(points: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["slope", "median_height", "line", "place", "cy"])
 
 
-def document_lines(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
-    """(page, box, line, place, cy, slope, median_height): the line of each box, from the top, and its place from the left.
-
-    ``points`` are four corners [x, y] from the upper left on, clockwise. Boxes without four whole finite corners
-    and rows without a page are left out; equal boxes stand side by side in the order of ``box`` (nulls first).
-    """
+def _order(points: pd.Series) -> pd.Series:
+    """The place of each box, from 0, when read: by (y, x) of its first corner, then moved before neighbours of its row that lie to its right."""
+    out = []
+    for flat in points:
+        first = np.asarray(flat, float).reshape(-1, 4, 2)[:, 0]
+        read: list[int] = []
+        for i in np.lexsort((np.arange(len(first)), first[:, 0], first[:, 1])).tolist():
+            at = len(read)
+            while at and abs(first[i, 1] - first[read[at - 1], 1]) < ROW and first[i, 0] < first[read[at - 1], 0]:
+                at -= 1
+            read.insert(at, i)
+        place = np.empty(len(first), np.int64)
+        place[read] = np.arange(len(first))
+        out.append(place)
+    return pd.Series(out, index=points.index, dtype=object)
+
+
+def _pages(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
+    """(_page, b): the boxes with four whole finite corners of each page, in the order of ``box``."""
     corners = F.col(points) if isinstance(points, str) else points
     rows = boxes.select(F.col(page).alias("_page"), F.col(box).alias("_box"), corners.cast(POINTS).alias("_q")).filter("_page IS NOT NULL")
 
@@ -94,8 +107,24 @@ def document_lines(boxes: DataFrame, page: str, box: str, points: str | Column)
         return v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
 
     whole = (F.size("_q") == 4) & ~F.exists("_q", lambda p: F.coalesce(F.size(p) != 2, F.lit(True))) & ~F.exists(F.flatten("_q"), bad)
-    pages = rows.filter(F.coalesce(whole, F.lit(False))).groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("_box", F.flatten("_q").alias("q")))).alias("b"))
+    return rows.filter(F.coalesce(whole, F.lit(False))).groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("_box", F.flatten("_q").alias("q")))).alias("b"))
+
+
+def reading_order(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
+    """(page, box, place): the order in which the boxes of a page are read, from 0; see ``document_lines`` for boxes that are left out."""
+    order = F.pandas_udf(_order, "array<long>")
+    found = _pages(boxes, page, box, points).withColumn("o", order(F.flatten(F.transform("b", lambda v: v["q"]))))
+    each = found.select("_page", F.explode(F.arrays_zip(F.transform("b", lambda v: v["_box"]).alias("box"), F.col("o").alias("place"))).alias("z"))
+    return each.select(F.col("_page").alias(page), F.col("z.box").alias(box), F.col("z.place").alias("place"))
+
+
+def document_lines(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
+    """(page, box, line, place, cy, slope, median_height): the line of each box, from the top, and its place from the left.
+
+    ``points`` are four corners [x, y] from the upper left on, clockwise. Boxes without four whole finite corners
+    and rows without a page are left out; equal boxes stand side by side in the order of ``box`` (nulls first).
+    """
     lines = F.pandas_udf(_lines, "slope double, median_height double, line array<long>, place array<long>, cy array<double>")
-    found = pages.withColumn("l", lines(F.flatten(F.transform("b", lambda v: v["q"]))))
+    found = _pages(boxes, page, box, points).withColumn("l", lines(F.flatten(F.transform("b", lambda v: v["q"]))))
     each = found.select("_page", F.col("l.slope").alias("slope"), F.col("l.median_height").alias("median_height"), F.explode(F.arrays_zip(F.transform("b", lambda v: v["_box"]).alias("box"), F.col("l.line").alias("line"), F.col("l.place").alias("place"), F.col("l.cy").alias("cy"))).alias("z"))
     return each.select(F.col("_page").alias(page), F.col("z.box").alias(box), F.col("z.line").alias("line"), F.col("z.place").alias("place"), F.col("z.cy").alias("cy"), "slope", "median_height")

@@ -144,3 +144,16 @@ def component_sizes(members: DataFrame, component: str | Column, size: str | Col
     """(component, size): the summed sizes of the members of each component."""
     named = members.select((F.col(component) if isinstance(component, str) else component).alias("component"), (F.col(size) if isinstance(size, str) else size).alias("_s"))
     return named.groupBy("component").agg(F.sum("_s").alias("size"))
+
+
+def exposure_split(catalog: DataFrame, exposed: DataFrame, family: str, seed: int = 0) -> DataFrame:
+    """``catalog`` with ``split``: families that were seen before are train, the rest goes to val and test, whole and balanced by rows.
+
+    ``exposed`` has the seen families in its column ``family``. Null families are left out.
+    """
+    seen = exposed.select(F.col(family).alias("_f")).filter("_f IS NOT NULL").distinct()
+    rows = catalog.filter(F.col(family).isNotNull())
+    fresh = rows.join(seen, rows[family] == seen["_f"], "left_anti")
+    parts = balanced_split(component_sizes(fresh, family, F.lit(1)), ["val", "test"], [1, 1], seed).select(F.col("component").alias("_f"), "split")
+    known = seen.withColumn("split", F.lit("train"))
+    return rows.join(known.union(parts), rows[family] == F.col("_f")).drop("_f")

@@ -528,3 +528,37 @@ def age_rules_by_form(people, courses, form_rules, products):
     rows = people.join(courses.filter("start IS NOT NULL"), "person").join(form_rules, "item_seq").join(products, "item_seq")
     told = rules.age_rule_by_form(F.col("rule_value"), F.col("permit_form"), F.col("birth_date"), F.col("start"))
     return rows.select("course", "rule_value", told.alias("t")).select("course", "rule_value", "t.applies", "t.reason")
+
+
+SPELT = """spelt AS (SELECT k, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '\\s*\\(\\s*분류번호\\s*:[^)]+\\)\\s*$', ''), '\\s+', ' ', 'g'), '\\s*([+/])\\s*', '\\1', 'g')) AS name FROM name_lines)"""
+
+
+@case("WITH " + SPELT + """ SELECT k, name, CASE WHEN regexp_matches(name, '[+/]') THEN name ELSE regexp_replace(CASE WHEN name LIKE 'dilute %' THEN trim(regexp_replace(substr(name, 8), ' solution$', '')) ELSE name END, '^(.+?)(?: (?:hydrochloride|hydrate|sodium|citrate))+$', '\\1') END AS moiety FROM spelt""", "name_lines")
+def ingredient_names(name_lines):
+    """One spelling of each name, and its active moiety."""
+    return name_lines.select("k", names.ingredient_name(F.col("text")).alias("name"), names.moiety_name(F.col("text")).alias("moiety"))
+
+
+@case("""WITH bare AS (SELECT k, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ', '', 'g') AS whole, regexp_replace(regexp_replace(regexp_replace(lower(text), '\\([^)]*\\)|\\[[^\\]]*\\]', '', 'g'), '[0-9]+(\\.[0-9]+)?\\s*(mg|ml|%)', '', 'g'), '[\\s·._/,:;%-]+', '', 'g') AS t FROM stem_lines)
+    SELECT k, CASE WHEN s = '' THEN whole ELSE s END AS stem FROM (SELECT *, regexp_replace(t, '^(.{2,}?)(?:정|캡슐|시럽|연고)+$', '\\1') AS s FROM bare)""", "stem_lines")
+def family_stems(stem_lines):
+    return stem_lines.select("k", forms.family_stem(F.col("text")).alias("stem"))
+
+
+@case("""WITH t AS (SELECT k, lower(text) AS t, regexp_replace(lower(text), '\\s+', ' ', 'g') AS s, len(regexp_extract_all(text, '□')) AS boxes FROM regimen_lines),
+    told AS (SELECT *, boxes <= 1 AND (regexp_matches(s, '필요 ?시|as needed') OR regexp_matches(t, '(^|[^a-z0-9_])prn([^a-z0-9_]|$)')) AS needed,
+        [CASE WHEN regexp_matches(s, '식중|식사 ?와|식사 ?중') THEN 'with_meal' END, CASE WHEN regexp_matches(s, '식후|식사 ?후') THEN 'after_meal' END, CASE WHEN regexp_matches(s, '식전|식사 ?전') THEN 'before_meal' END,
+         CASE WHEN regexp_matches(s, '공복|빈속') THEN 'empty_stomach' END, CASE WHEN regexp_matches(s, '식사 ?무관|식사 ?관계 ?없이') THEN 'regardless' END] AS meals,
+        list_transform(regexp_extract_all(t, '오전\\s*([0-9]{1,2})', 1), lambda h: CASE WHEN h::INT BETWEEN 1 AND 12 THEN lpad((h::INT % 12)::VARCHAR, 2, '0') || ':00' END) AS half,
+        CASE WHEN regexp_matches(s, '복용 ?시간') THEN list_filter(regexp_extract_all(t, '[0-9]{1,2}:[0-9]{2}'), lambda h: h[1:2]::INT < 24 AND h[4:5]::INT < 60) ELSE [] END AS day FROM t)
+    SELECT k, CASE WHEN needed THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter(half || day, lambda x: x IS NOT NULL))), ',') END AS times,
+        CASE WHEN boxes <= 1 AND len(list_filter(meals, lambda m: m IS NOT NULL)) = 1 THEN list_filter(meals, lambda m: m IS NOT NULL)[1] END AS meal,
+        CASE WHEN t LIKE '%점안%' THEN 'ophthalmic' WHEN t LIKE '%복용%' OR t LIKE '%oral%' THEN 'oral' END AS route, needed FROM told""", "regimen_lines")
+def regimen_texts(regimen_lines):
+    r = forms.regimen(F.col("text"))
+    return regimen_lines.select("k", r.alias("r")).select("k", F.array_join("r.schedule_times", ",").alias("times"), F.col("r.meal_relation").alias("meal"), F.col("r.administration_route").alias("route"), F.col("r.as_needed").alias("needed"))
+
+
+@case("SELECT id, regexp_matches(text, '[가-힣]') AS hangul, regexp_matches(text, '[A-Za-z]') AS latin, regexp_matches(text, '[0-9]') AS digit FROM samples", "samples")
+def script_flags(samples):
+    return samples.select("id", names.scripts(F.col("text")).alias("s")).select("id", "s.*")

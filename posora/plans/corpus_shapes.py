@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from posora.functions.arrays import windows
 from posora.operators.digests import line_of, merkle_root, range_digests, range_digests_streamed
 from posora.operators.division import divided, resolved_by_all_parts
-from posora.operators.layout import document_lines
+from posora.operators.layout import document_lines, reading_order
 from posora.operators.pairing import greedy_matching
 from posora.operators.polygons import detection_errors, overlapping
 from posora.operators.relational import query, read
 from posora.operators.rule_table import Rule, first_rules
 from posora.operators.slices import slice_plan
-from posora.operators.splits import balanced_split, component_sizes
+from posora.operators.splits import balanced_split, component_sizes, exposure_split
 from posora.operators.token_matching import consumed_tokens, matched_lines, words
 from posora.scratch import Scratch
 from posora.sources.contracts import Contract, broken_rules, mixed_values, repeated_keys, strict_json
@@ -111,6 +111,44 @@ def page_lines(spark, sf_dir):
     return found.select("conv_id", "box_id", "line", "place", F.round("cy", 4).alias("cy"), F.round("slope", 6).alias("slope"), F.round("median_height", 6).alias("median_height"))
 
 
+@query(f"""
+    WITH RECURSIVE {BOXES_SQL},
+    o AS (SELECT conv_id, box_id, x1 AS x, y_ul AS y, row_number() OVER (PARTITION BY conv_id ORDER BY y_ul, x1, box_id) AS i FROM boxes),
+    walk AS (
+        SELECT DISTINCT conv_id, 0::BIGINT AS i, []::STRUCT(b BIGINT, x DOUBLE, y DOUBLE)[] AS l FROM o
+        UNION ALL
+        SELECT conv_id, i, l[1:k] || [{{'b': box_id, 'x': x, 'y': y}}] || l[k + 1:] FROM (
+            SELECT o.*, w.l, coalesce(list_max(list_filter(range(1, len(w.l) + 1), lambda j: NOT (abs(o.y - w.l[j].y) < 10 AND o.x < w.l[j].x))), 0) AS k FROM walk w JOIN o ON o.conv_id = w.conv_id AND o.i = w.i + 1
+        )
+    ),
+    ends AS (SELECT conv_id, arg_max(l, i) AS l FROM walk GROUP BY conv_id)
+    SELECT conv_id, unnest(list_transform(l, lambda e: e.b)) AS box_id, unnest(range(len(l))) AS place FROM ends
+""")
+def page_reading_order(spark, sf_dir):
+    """Words in the order in which rows of them are read."""
+    return reading_order(word_boxes(spark, sf_dir), "conv_id", "box_id", "corners")
+
+
+@query("""
+    WITH RECURSIVE c AS (SELECT p_partkey, p_name || ' ' || p_size AS family FROM part), seen AS (SELECT DISTINCT p_name || ' ' || (s_suppkey % 40) AS family FROM part, supplier WHERE p_partkey = s_suppkey * 3),
+    fresh AS (SELECT family, count(*) AS n FROM c WHERE family NOT IN (SELECT family FROM seen) GROUP BY family),
+    o AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('3:' || family), family) AS i, count(*) OVER () AS k FROM fresh),
+    walk AS (
+        SELECT 0::BIGINT AS i, NULL::VARCHAR AS family, NULL::VARCHAR AS split, 0::BIGINT AS a, 0::BIGINT AS b
+        UNION ALL
+        SELECT o.i, o.family, CASE WHEN CASE WHEN o.k - o.i < 1 AND w.b = 0 THEN false ELSE w.a <= w.b END THEN 'val' ELSE 'test' END, w.a + CASE WHEN w.a <= w.b AND NOT (o.k - o.i < 1 AND w.b = 0) THEN o.n ELSE 0 END,
+               w.b + CASE WHEN w.a <= w.b AND NOT (o.k - o.i < 1 AND w.b = 0) THEN 0 ELSE o.n END FROM walk w JOIN o ON o.i = w.i + 1
+    )
+    SELECT c.p_partkey, c.family, coalesce(w.split, 'train') AS split FROM c LEFT JOIN walk w ON w.family = c.family
+""")
+def unseen_family_split(spark, sf_dir):
+    """Products whose families were seen before train; the others are balanced over val and test."""
+    part, supplier = read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
+    catalog = part.select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("family"))
+    exposed = part.join(supplier, F.col("p_partkey") == F.col("s_suppkey") * 3).select(F.concat_ws(" ", "p_name", (F.col("s_suppkey") % 40).cast("string")).alias("family"))
+    return exposure_split(catalog, exposed, "family", seed=3)
+
+
 def contaminations(spark, sf_dir):
     """(doc_id, item_id, coverage, share) of documents that hold some three-word shingle of a benchmark passage."""
 

@@ -175,6 +175,21 @@ DERIVED: dict[str, tuple[str, str]] = {
         """SELECT p_partkey, 'P' || p_partkey, CASE p_partkey % 7 WHEN 0 THEN '정제, 캡슐제: ' || (p_size + 10) || '세 미만, 주사제: ' || p_size || '세 이하' WHEN 1 THEN '정제: 12세 미만, 시럽제: 24개월 미만' WHEN 2 THEN (p_size + 20) || '세 이상' WHEN 3 THEN '정제 6세 미만, 캡슐제: 12세 미만'
         WHEN 4 THEN '가루: 6세 미만, 정제: 12세 미만' WHEN 5 THEN '해당없음' END FROM {part}""",
     ),
+    "name_lines": (
+        "k long, text string",
+        """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN upper(p_name) || ' (분류번호: ' || p_size || ')' WHEN 1 THEN p_name || '  Hydrochloride hydrate ' WHEN 2 THEN '  ' || p_name || ' + ' || lower(p_type) WHEN 3 THEN p_name || ' sodium /' || p_type
+        WHEN 4 THEN 'Dilute ' || p_name || ' solution' WHEN 5 THEN p_name || ' sodium (' || p_size || ')' WHEN 6 THEN 'Sodium citrate' END FROM {part}""",
+    ),
+    "stem_lines": (
+        "k long, text string",
+        """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name || '정 ' || p_size || 'mg' WHEN 1 THEN p_name || '캡슐(' || p_type || ')' WHEN 2 THEN upper(p_name) || ' 시럽 ' || p_size || '.5 ml' WHEN 3 THEN '정' ELSE p_name || '-' || p_size || '%연고[' || p_brand || ']' END FROM {part}""",
+    ),
+    "regimen_lines": (
+        "k long, text string",
+        """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '1일 ' || (o_custkey % 3 + 1) || '회 ' WHEN 1 THEN '복용  시간 0' || (o_custkey % 10) || ':' || (10 + o_custkey % 50) || ', 2' || (o_custkey % 6) || ':05 ' WHEN 2 THEN '오전 ' || (o_custkey % 14) || '시 ' ELSE '' END
+        || CASE o_custkey % 8 WHEN 0 THEN '식사 후' WHEN 1 THEN '식전 복용' WHEN 2 THEN '식사와 함께' WHEN 3 THEN '휴식 후' WHEN 4 THEN '공복, 식후' WHEN 5 THEN '식사 관계없이' ELSE '' END
+        || CASE o_custkey % 9 WHEN 0 THEN ' 필요시' WHEN 1 THEN ' PRN' WHEN 2 THEN ' sprn' WHEN 3 THEN ' 눈에 점안' WHEN 4 THEN ' □ □ as needed' WHEN 5 THEN ' oral' ELSE '' END FROM {orders}""",
+    ),
     "edges": ("a long, b long", "SELECT p_partkey, (p_partkey * p_partkey + 3 * p_size) % 1999 FROM {part}"),
     "samples": (
         "id string, family string, split string, tags string, errors int, chars int, expected int, found int, text string",
