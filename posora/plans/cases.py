@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from posora.functions import compositions, forms, names, rules
 from posora.operators import graph, matching
-from posora.plans import derived, linking, safety, substances
+from posora.plans import derived, drafts as draft_plans, linking, safety, substances
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,3 +562,23 @@ def regimen_texts(regimen_lines):
 @case("SELECT id, regexp_matches(text, '[가-힣]') AS hangul, regexp_matches(text, '[A-Za-z]') AS latin, regexp_matches(text, '[0-9]') AS digit FROM samples", "samples")
 def script_flags(samples):
     return samples.select("id", names.scripts(F.col("text")).alias("s")).select("id", "s.*")
+
+
+@case("""WITH a AS (SELECT k, person, as_needed AS prn, long_term AS long, trim(dosage_text) AS dosage, CASE WHEN regexp_full_match(dose_amount, '[+]?([0-9]+([.][0-9]*)?|[.][0-9]+)') THEN CAST(dose_amount AS DECIMAL(30, 10)) END AS amount, dose_amount IS NOT NULL AS amount_given, trim(dose_unit) AS unit,
+        nullif(trim(frequency_per_day), '') AS f, nullif(trim(meal_relation), '') AS meal, administration_route AS route, prn_max_per_day AS pm, prescription_days AS pd, schedule_times AS st, start_date AS sd, end_date AS ed FROM drafts),
+    b AS (SELECT *, CASE WHEN CAST(f AS DECIMAL(10, 2)) BETWEEN 1 AND 24 AND CAST(f AS DECIMAL(10, 2)) = floor(CAST(f AS DECIMAL(10, 2))) THEN CAST(CAST(f AS DECIMAL(10, 2)) AS INT) END AS fn, CASE WHEN CAST(pm AS INT) BETWEEN 1 AND 24 THEN CAST(pm AS INT) END AS pn, CASE WHEN CAST(pd AS INT) BETWEEN 1 AND 3650 THEN CAST(pd AS INT) END AS dn,
+        coalesce(list_transform(string_split(st, ','), lambda t: CASE WHEN string_split(trim(t), ':')[1]::INT < 24 AND string_split(trim(t), ':')[2]::INT < 60 THEN lpad(string_split(trim(t), ':')[1], 2, '0') || ':' || lpad(string_split(trim(t), ':')[2], 2, '0') END), []) AS ts,
+        CASE WHEN sd IS NULL THEN DATE '2024-01-01' ELSE TRY_CAST(CASE WHEN length(sd) = 10 THEN sd END AS DATE) END AS s, CAST(ed AS DATE) AS e FROM a),
+    c AS (SELECT *, list_sort(list_filter(ts, lambda t: t IS NOT NULL)) AS times FROM b),
+    d AS (SELECT *, coalesce(fn, CASE WHEN f IS NULL AND len(times) > 0 THEN len(times) END) AS freq, CASE WHEN dn IS NOT NULL THEN s + dn - 1 END AS told FROM c),
+    g AS (SELECT *, coalesce(told, e) AS last FROM d)
+    SELECT k, array_to_string(list_filter([CASE WHEN len(ts) <> len(times) THEN 'schedule_time' END, CASE WHEN len(list_distinct(times)) <> len(times) THEN 'schedule_duplicate' END, CASE WHEN f IS NOT NULL AND fn IS NULL THEN 'frequency' END,
+            CASE WHEN len(times) > 0 AND freq IS DISTINCT FROM len(times) THEN 'frequency_schedule' END, CASE WHEN pm IS NOT NULL AND pn IS NULL THEN 'prn_max' END, CASE WHEN prn AND (freq IS NOT NULL OR len(times) > 0) THEN 'prn_fixed' END,
+            CASE WHEN NOT prn AND pm IS NOT NULL THEN 'prn_only' END, CASE WHEN amount_given AND (amount IS NULL OR amount = 0) THEN 'dose_amount' END, CASE WHEN meal NOT IN ('after_meal') THEN 'meal_relation' END, CASE WHEN route NOT IN ('oral') THEN 'administration_route' END,
+            CASE WHEN pd IS NOT NULL AND dn IS NULL THEN 'days' END, CASE WHEN long AND (pd IS NOT NULL OR ed IS NOT NULL) THEN 'long_term' END, CASE WHEN s IS NULL THEN 'date' END, CASE WHEN e <> told THEN 'end_conflict' END, CASE WHEN last < s THEN 'end_before_start' END], lambda x: x IS NOT NULL), ',') AS broken,
+        coalesce(dosage, CASE WHEN amount IS NOT NULL THEN CASE WHEN amount = floor(amount) THEN CAST(amount AS BIGINT)::VARCHAR ELSE regexp_replace(amount::VARCHAR, '0+$', '') END || coalesce(unit, '') END) AS dosage_text,
+        freq::INT AS frequency, array_to_string(times, ',') AS times, last::VARCHAR AS end_date FROM g""", "drafts")
+def prescription_drafts(drafts):
+    """Drafts in normal form and the rules that they break."""
+    found = draft_plans.normalized_drafts(drafts, F.lit("2024-01-01").cast("date"))
+    return found.select("k", F.array_join("broken", ",").alias("broken"), "dosage_text", F.col("frequency_per_day").alias("frequency"), F.array_join("schedule_times", ",").alias("times"), "end_date")

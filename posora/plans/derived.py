@@ -190,6 +190,15 @@ DERIVED: dict[str, tuple[str, str]] = {
         || CASE o_custkey % 8 WHEN 0 THEN '식사 후' WHEN 1 THEN '식전 복용' WHEN 2 THEN '식사와 함께' WHEN 3 THEN '휴식 후' WHEN 4 THEN '공복, 식후' WHEN 5 THEN '식사 관계없이' ELSE '' END
         || CASE o_custkey % 9 WHEN 0 THEN ' 필요시' WHEN 1 THEN ' PRN' WHEN 2 THEN ' sprn' WHEN 3 THEN ' 눈에 점안' WHEN 4 THEN ' □ □ as needed' WHEN 5 THEN ' oral' ELSE '' END FROM {orders}""",
     ),
+    "drafts": (
+        "k long, person string, dosage_text string, dose_amount string, dose_unit string, frequency_per_day string, meal_relation string, administration_route string, as_needed boolean, prn_max_per_day string, prescription_days string, long_term boolean, schedule_times string, start_date string, end_date string",
+        """SELECT o_orderkey, 'C' || o_custkey, CASE WHEN o_orderkey % 6 = 0 THEN ' 1정 ' END, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '1.50' WHEN 3 THEN '+2' WHEN 4 THEN 'x' WHEN 5 THEN '010.0' ELSE '.5' END,
+        CASE o_custkey % 3 WHEN 0 THEN 'mg' WHEN 1 THEN ' 정 ' END, CASE o_custkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '25' WHEN 2 THEN ' ' WHEN 3 THEN '2.0' END,
+        CASE o_orderkey % 5 WHEN 0 THEN 'after_meal' WHEN 1 THEN 'sometimes' WHEN 2 THEN ' ' END, CASE o_orderkey % 11 WHEN 0 THEN 'oral' WHEN 1 THEN 'by air' END, o_orderkey % 13 = 0,
+        CASE o_orderkey % 26 WHEN 0 THEN '3' WHEN 13 THEN '99' WHEN 1 THEN '3' END, CASE o_custkey % 7 WHEN 0 THEN '7' WHEN 1 THEN '0' WHEN 2 THEN '4000' END, o_custkey % 17 = 0,
+        CASE o_orderkey % 9 WHEN 0 THEN '8:0, 20:30' WHEN 1 THEN '24:00' WHEN 2 THEN '09:00,9:00' WHEN 3 THEN '12:15,07:05' END,
+        CASE WHEN o_orderkey % 4 <> 0 THEN substr(CAST(o_orderdate AS STRING), 1, CASE WHEN o_orderkey % 37 = 1 THEN 7 ELSE 10 END) END, CASE WHEN o_custkey % 6 = 0 THEN '1999-12-31' END FROM {orders}""",
+    ),
     "edges": ("a long, b long", "SELECT p_partkey, (p_partkey * p_partkey + 3 * p_size) % 1999 FROM {part}"),
     "samples": (
         "id string, family string, split string, tags string, errors int, chars int, expected int, found int, text string",
