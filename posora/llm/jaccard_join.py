@@ -218,7 +218,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         scratch.release()
         if r < rounds and labels is not None:
             named = labels.select("id", F.col("component").alias("_c"))
-            tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
+            if r == 0:  # whole prefixes are fewer and smaller rows than their tokens
+                tokens = entries.select("id", "n", "head").join(named, "id", "left").select("id", "n", bands.alias("band"), F.posexplode("head").alias("pos", "token"), F.coalesce("_c", "id").alias("c"))
+            else:
+                tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
     scratch.drop(entries, *listings, *([held] if rounds else []))
     if labels is None:
         labels = spark.createDataFrame([], f"id {kind}, component {kind}")
