@@ -1,9 +1,13 @@
 """Connected components of an edge table, by contraction.
 
-Each round points every node at its smallest neighbour, jumps once along those
-pointers and replaces the edges by edges between the pointed-at nodes, so the
-edge table shrinks by at least half; it ends when no edge is left. Nothing is
-collected: the driver learns only whether edges remain.
+Each round points every node at that of its neighbours and itself whose hash is
+least, jumps once along those pointers and replaces the edges by edges between
+the pointed-at nodes. Hashes differ from round to round, so nodes go by a
+constant share a round, whatever their ids (with ids in place of hashes, a chain
+in the order of its ids would lose two nodes a round). It ends when no edge is
+left; the rounds' pointers, which shrink as the nodes do, then give every node
+its component, last round first. Nothing is collected: the driver learns only
+whether edges remain.
 """
 
 from __future__ import annotations
@@ -22,21 +26,33 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(edges.sparkSession)
     given = scratch.save(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     cur = scratch.save(given.filter("a < b"))
-    labels: DataFrame | None = None
+    rounds: list[tuple[DataFrame, DataFrame]] = []  # pointers (id, to), and the least given id of each node pointed at (to, least)
     while not cur.isEmpty():
+        seed = F.lit(len(rounds))
+
+        def placed(c: str):
+            return F.struct(F.xxhash64(c, seed).alias("h"), F.col(c).alias("to"))
+
         both = cur.select(F.col("a").alias("id"), F.col("b").alias("to")).union(cur.select("b", "a"))
-        near = scratch.save(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("to")))
-        jump = near.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.to").alias("to"))
-        jump = scratch.save(jump)
+        near = scratch.save(both.groupBy("id").agg(F.min(placed("to")).alias("n")).select("id", F.least("n", placed("id"))["to"].alias("to")))
+        jump = scratch.save(near.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.to").alias("to")))
+        own = jump.withColumn("least", F.col("id"))
+        if rounds:
+            own = jump.join(rounds[-1][1].select(F.col("to").alias("id"), "least"), "id")
+        least = scratch.save(own.groupBy("to").agg(F.min("least").alias("least")))
         ja, jb = jump.select(F.col("id").alias("a"), F.col("to").alias("ta")), jump.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         nxt = scratch.save(cur.join(ja, "a").join(jb, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a < b").distinct())
-        if labels is None:
-            new = scratch.save(jump.select("id", F.col("to").alias("component")))
-        else:
-            j = jump.select(F.col("id").alias("component"), "to")
-            new = scratch.save(labels.join(j, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
-            scratch.drop(labels)
-        scratch.drop(cur, near, jump)
-        labels, cur = new, nxt
+        scratch.drop(cur, near)
+        rounds.append((jump, least))
+        cur = nxt
+    scratch.drop(cur)
+    labels: DataFrame | None = None
+    for jump, least in reversed(rounds):
+        ends = least.withColumnRenamed("least", "component")
+        if labels is not None:
+            ends = least.join(labels.select(F.col("id").alias("to"), "component"), "to", "left").select("to", F.coalesce("component", "least").alias("component"))
+        new = scratch.save(jump.join(ends, "to").select("id", "component"))
+        scratch.drop(jump, least, *([] if labels is None else [labels]))
+        labels = new
     loops = given.filter("a = b").select(F.col("a").alias("id"), F.col("b").alias("component"))
     return loops if labels is None else labels.union(loops.join(labels.select("id"), "id", "left_anti"))
