@@ -62,26 +62,33 @@ def dose_threshold(c: Column) -> Column:
     Amounts over 20 digits before the point or 10 after it aren't evaluable.
     """
     text = F.regexp_replace(clean(c.cast("string")), r"(?<=\d),(?=\d{3}(?!\d))", "")
-    low = F.lower(text)
-    conditional = F.lit(False)
-    for word in CONDITIONAL_WORDS:
-        conditional = conditional | low.contains(word)
-    once = (F.regexp_count(text, F.lit(NUMBER)) == 1) & (F.regexp_count(text, F.lit("(?i)" + QUANTITY)) == 1)
-    number = F.regexp_extract(text, "(?i)" + QUANTITY, 1)
-    unit = F.lower(F.regexp_extract(text, "(?i)" + QUANTITY, 2))
-    factor = _lookup(MG_OF_UNIT, unit)
-    decimals = F.length(F.regexp_extract(number, r"\.(\d*)", 1))
-    amount = F.when(decimals <= 10, number.try_cast("decimal(30,10)"))
-    places = decimals + F.when(factor == "0.001", 3).otherwise(0)
-    product = (amount * F.coalesce(factor, F.lit("1")).cast("decimal(7,3)")).cast("decimal(38,13)").cast("string")
-    value = F.regexp_replace(F.substring(product, F.lit(1), F.length(product) - 13 + places), r"\.$", "")
-    good = once & ~conditional & (amount > 0)
-    return F.struct(
-        F.when(good, value).alias("value"),
-        F.when(good, F.when(factor.isNotNull(), "mg").otherwise(_lookup(COUNT_UNIT, unit))).alias("unit"),
-        F.when(good, "parsed").otherwise("not_evaluable").alias("status"),
-        F.when(text.isNull(), DOSE_MISSING).when(good, None).otherwise(DOSE_UNCLEAR).alias("reason"),
-    )
+
+    def found(t: Column) -> Column:
+        numbers, quantities = F.regexp_count(t, F.lit(NUMBER)), F.regexp_count(t, F.lit("(?i)" + QUANTITY))
+        number, unit = F.regexp_extract(t, "(?i)" + QUANTITY, 1), F.lower(F.regexp_extract(t, "(?i)" + QUANTITY, 2))
+        return F.struct(t.alias("text"), F.lower(t).alias("low"), ((numbers == 1) & (quantities == 1)).alias("once"), number.alias("number"), unit.alias("unit"))
+
+    def measured(v: Column) -> Column:
+        conditional = F.lit(False)
+        for word in CONDITIONAL_WORDS:
+            conditional = conditional | v["low"].contains(word)
+        decimals = F.length(F.regexp_extract(v["number"], r"\.(\d*)", 1))
+        amount = let(decimals, lambda d: F.struct(d.alias("decimals"), F.when(d <= 10, v["number"].try_cast("decimal(30,10)")).alias("amount")))
+        return F.struct(v["text"].alias("text"), v["unit"].alias("unit"), (v["once"] & ~conditional).alias("plain"), amount.alias("a"), _lookup(MG_OF_UNIT, v["unit"]).alias("factor"))
+
+    def told(v: Column) -> Column:
+        places = v["a"]["decimals"] + F.when(v["factor"] == "0.001", 3).otherwise(0)
+        product = (v["a"]["amount"] * F.coalesce(v["factor"], F.lit("1")).cast("decimal(7,3)")).cast("decimal(38,13)").cast("string")
+        value = let(product, lambda p: F.regexp_replace(F.substring(p, F.lit(1), F.length(p) - 13 + places), r"\.$", ""))
+        good = v["plain"] & (v["a"]["amount"] > 0)
+        return F.struct(
+            F.when(good, value).alias("value"),
+            F.when(good, F.when(v["factor"].isNotNull(), "mg").otherwise(_lookup(COUNT_UNIT, v["unit"]))).alias("unit"),
+            F.when(good, "parsed").otherwise("not_evaluable").alias("status"),
+            F.when(v["text"].isNull(), DOSE_MISSING).when(good, None).otherwise(DOSE_UNCLEAR).alias("reason"),
+        )
+
+    return let(let(let(text, found), measured), told)
 
 
 def duration_days(c: Column) -> Column:
