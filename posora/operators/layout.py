@@ -1,15 +1,19 @@
 """Lines of a page from the boxes that a recogniser found on it.
 
-A page is one row of parallel arrays, as a text is one value; the fold over its
-boxes is sequential by nature and keeps only lines that later boxes can still join.
+The boxes of a page come side by side and in order, a row each, and are folded one page
+at a time: the fold is sequential by nature and keeps only lines that later boxes can still join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Slopes that count, and the shares of heights within which a box belongs to a line.
 STEEPEST, OF_MEDIAN, OF_LEAST = 0.35, 0.65, 0.7
@@ -68,38 +72,61 @@ def line_of(cy: np.ndarray, height: np.ndarray, x1: np.ndarray, median: float) -
     return line, place
 
 
-def _lines(points: pd.Series) -> pd.DataFrame:
-    out = []
-    for flat in points:
-        quads = np.asarray(flat, float).reshape(-1, 4, 2)
-        slope = page_slope(quads)
-        y = quads[..., 1] - slope * quads[..., 0]
-        low, high = y.min(1, initial=np.inf), y.max(1, initial=-np.inf)
-        height, cy = high - low, (low + high) / 2
-        median = float(np.median(height)) if len(quads) else HEIGHT
-        out.append((slope, median, *line_of(cy, height, quads[..., 0].min(1, initial=np.inf), median), cy))
-    return pd.DataFrame(out, columns=["slope", "median_height", "line", "place", "cy"])
+def _lines(quads: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(line, place, cy, slope, median height) of each box of a page."""
+    slope = page_slope(quads)
+    y = quads[..., 1] - slope * quads[..., 0]
+    low, high = y.min(1, initial=np.inf), y.max(1, initial=-np.inf)
+    height, cy = high - low, (low + high) / 2
+    median = float(np.median(height)) if len(quads) else HEIGHT
+    return *line_of(cy, height, quads[..., 0].min(1, initial=np.inf), median), cy, np.full(len(quads), slope), np.full(len(quads), median)
 
 
-def _order(points: pd.Series) -> pd.Series:
+def _order(quads: np.ndarray) -> tuple[np.ndarray]:
     """The place of each box, from 0, when read: by (y, x) of its first corner, then moved before neighbours of its row that lie to its right."""
-    out = []
-    for flat in points:
-        first = np.asarray(flat, float).reshape(-1, 4, 2)[:, 0]
-        read: list[int] = []
-        for i in np.lexsort((np.arange(len(first)), first[:, 0], first[:, 1])).tolist():
-            at = len(read)
-            while at and abs(first[i, 1] - first[read[at - 1], 1]) < ROW and first[i, 0] < first[read[at - 1], 0]:
-                at -= 1
-            read.insert(at, i)
-        place = np.empty(len(first), np.int64)
-        place[read] = np.arange(len(first))
-        out.append(place)
-    return pd.Series(out, index=points.index, dtype=object)
-
-
-def _pages(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
-    """(_page, b): the boxes with four whole finite corners of each page, in the order of ``box``."""
+    first = quads[:, 0]
+    read: list[int] = []
+    for i in np.lexsort((np.arange(len(first)), first[:, 0], first[:, 1])).tolist():
+        at = len(read)
+        while at and abs(first[i, 1] - first[read[at - 1], 1]) < ROW and first[i, 0] < first[read[at - 1], 0]:
+            at -= 1
+        read.insert(at, i)
+    place = np.empty(len(first), np.int64)
+    place[read] = np.arange(len(first))
+    return (place,)
+
+
+def by_page(batches: Iterable[pa.RecordBatch], fold: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """_page, _box and what ``fold`` makes of each page, for boxes that come page by page, ``_first`` with the first of each.
+
+    At most one page and one batch of boxes are held, however many pages there are.
+    """
+
+    def whole(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        if not len(rows):
+            return
+        starts = np.flatnonzero(rows["_first"].to_numpy())
+        quads = pa.concat_arrays([c.flatten() for c in rows["_q"].chunks]).to_numpy(zero_copy_only=False).reshape(-1, 4, 2)
+        made = [fold(quads[s:e]) for s, e in zip(starts, [*starts[1:], len(rows)], strict=True)]
+        for k, name in enumerate(names):
+            rows = rows.append_column(name, pa.array(np.concatenate([m[k] for m in made])))
+        yield from rows.select(["_page", "_box", *names]).combine_chunks().to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        fresh = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
+        if not len(fresh):
+            held.append(batch)
+            continue
+        yield from whole([*held, batch.slice(0, fresh[-1])])
+        held = [batch.slice(fresh[-1])]
+    if held:
+        yield from whole(held)
+
+
+def _folded(boxes: DataFrame, page: str, box: str, points: str | Column, fold: Callable[[np.ndarray], tuple[np.ndarray, ...]], made: dict[str, str]) -> DataFrame:
+    """(_page, _box, ``made``): the boxes with four whole finite corners, each page's folded in the order of ``box``."""
     corners = F.col(points) if isinstance(points, str) else points
     rows = boxes.select(F.col(page).alias("_page"), F.col(box).alias("_box"), corners.cast(POINTS).alias("_q")).filter("_page IS NOT NULL")
 
@@ -107,15 +134,18 @@ def _pages(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataF
         return v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
 
     whole = (F.size("_q") == 4) & ~F.exists("_q", lambda p: F.coalesce(F.size(p) != 2, F.lit(True))) & ~F.exists(F.flatten("_q"), bad)
-    return rows.filter(F.coalesce(whole, F.lit(False))).groupBy("_page").agg(F.array_sort(F.collect_list(F.struct("_box", F.flatten("_q").alias("q")))).alias("b"))
+    sound = rows.filter(F.coalesce(whole, F.lit(False))).withColumn("_q", F.flatten("_q"))
+    # the window leaves the boxes of a page side by side and in order
+    first = F.row_number().over(W.partitionBy("_page").orderBy("_box", "_q")) == 1
+    schema = StructType([sound.schema["_page"], sound.schema["_box"]])
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
+    return sound.withColumn("_first", first).mapInArrow(lambda batches: by_page(batches, fold, list(made)), schema)
 
 
 def reading_order(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
     """(page, box, place): the order in which the boxes of a page are read, from 0; see ``document_lines`` for boxes that are left out."""
-    order = F.pandas_udf(_order, "array<long>")
-    found = _pages(boxes, page, box, points).withColumn("o", order(F.flatten(F.transform("b", lambda v: v["q"]))))
-    each = found.select("_page", F.explode(F.arrays_zip(F.transform("b", lambda v: v["_box"]).alias("box"), F.col("o").alias("place"))).alias("z"))
-    return each.select(F.col("_page").alias(page), F.col("z.box").alias(box), F.col("z.place").alias("place"))
+    return _folded(boxes, page, box, points, _order, {"place": "long"}).withColumnsRenamed({"_page": page, "_box": box})
 
 
 def document_lines(boxes: DataFrame, page: str, box: str, points: str | Column) -> DataFrame:
@@ -124,7 +154,5 @@ def document_lines(boxes: DataFrame, page: str, box: str, points: str | Column)
     ``points`` are four corners [x, y] from the upper left on, clockwise. Boxes without four whole finite corners
     and rows without a page are left out; equal boxes stand side by side in the order of ``box`` (nulls first).
     """
-    lines = F.pandas_udf(_lines, "slope double, median_height double, line array<long>, place array<long>, cy array<double>")
-    found = _pages(boxes, page, box, points).withColumn("l", lines(F.flatten(F.transform("b", lambda v: v["q"]))))
-    each = found.select("_page", F.col("l.slope").alias("slope"), F.col("l.median_height").alias("median_height"), F.explode(F.arrays_zip(F.transform("b", lambda v: v["_box"]).alias("box"), F.col("l.line").alias("line"), F.col("l.place").alias("place"), F.col("l.cy").alias("cy"))).alias("z"))
-    return each.select(F.col("_page").alias(page), F.col("z.box").alias(box), F.col("z.line").alias("line"), F.col("z.place").alias("place"), F.col("z.cy").alias("cy"), "slope", "median_height")
+    found = _folded(boxes, page, box, points, _lines, {"line": "long", "place": "long", "cy": "double", "slope": "double", "median_height": "double"})
+    return found.withColumnsRenamed({"_page": page, "_box": box})
