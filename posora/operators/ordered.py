@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from posora.scratch import Scratch
 
+#: Rows of a task where keys are dealt by the size of the table.
+A_TASK = 1 << 20
+
+
+def dealt(rows: DataFrame, *keys: str, a_task: int = A_TASK) -> DataFrame:
+    """``rows`` dealt by ``keys`` to so many partitions that each has about ``a_task`` rows.
+
+    A table that needs no more partitions than the session's shuffles have stays as it is. What follows by the same
+    keys keeps the partitions, so what a task sorts doesn't grow with the table.
+    """
+    wanted = -(-rows.count() // a_task)
+    return rows.repartition(wanted, *keys) if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
 
 def numbered(rows: DataFrame, order: list[Column], name: str = "place", scratch: Scratch | None = None) -> DataFrame:
     """``rows`` with ``name``: their place in the order, from 1 without gaps.

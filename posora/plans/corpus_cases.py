@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from posora.functions import forms, names
 from posora.operators.boxes import overlapping
-from posora.operators.ordered import numbered
+from posora.operators.ordered import dealt, numbered
 from posora.plans import cases
 
 case = cases.case
@@ -154,5 +154,5 @@ def administration_routes(products):
 
 @case("""SELECT med, start AS day, row_number() OVER (PARTITION BY med ORDER BY clock NULLS LAST, slot) AS occurrence, slot FROM instances JOIN medications USING (med)""".replace("SELECT med, start AS day", "SELECT med, start AS \"day\"").replace("clock NULLS", "instances.clock NULLS"), "instances", "medications")
 def occurrence_slots(instances, medications):
-    rows = instances.join(medications.select("med", F.col("start").alias("day")), "med")
+    rows = dealt(instances, "med").join(medications.select("med", F.col("start").alias("day")), "med")
     return rows.select("med", "day", F.row_number().over(W.partitionBy("med").orderBy(F.col("clock").asc_nulls_last(), "slot")).alias("occurrence"), "slot")
