@@ -149,15 +149,25 @@ def unseen_family_split(spark, sf_dir):
     return exposure_split(catalog, exposed, "family", seed=3)
 
 
-def contaminations(spark, sf_dir):
-    """(doc_id, item_id, coverage, share) of documents that hold some three-word shingle of a benchmark passage."""
+def shingles(text):
+    """The distinct three-word shingles of a text."""
+    return F.array_distinct(windows(words(text), 3))
 
-    def shingles(name: str, key: str):
-        rows = read(spark, sf_dir, name).select(key, F.array_distinct(windows(words(F.col("text")), 3)).alias("s"))
-        return rows.select(key, F.size("s").alias(f"n_{key}"), F.explode("s").alias("shingle"))
 
-    shared = shingles("documents", "doc_id").join(shingles("benchmark", "item_id"), "shingle").groupBy("doc_id", "item_id", "n_doc_id", "n_item_id").agg(F.count("*").alias("shared"))
-    return shared.select("doc_id", "item_id", (F.col("shared") / F.col("n_item_id")).alias("coverage"), (F.col("shared") / F.col("n_doc_id")).alias("share"))
+def contaminations(spark, sf_dir, least):
+    """(doc_id, item_id, coverage, share) of documents that hold at least the share ``least`` of a benchmark passage's three-word shingles.
+
+    Shingles are exploded where they are made: as a column they would be made again for each expression that reads it.
+    Only documents that hold so much are asked how many they have.
+    """
+    docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    wanted = items.select("item_id", F.explode(shingles(F.col("text"))).alias("shingle"))
+    sizes = wanted.groupBy("item_id").agg(F.count("*").alias("n_item"))
+    shared = docs.select("doc_id", F.explode(shingles(F.col("text"))).alias("shingle")).join(wanted, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    met = shared.join(sizes, "item_id").withColumn("coverage", F.col("shared") / F.col("n_item"))
+    near = Scratch(spark).save(met.filter(F.col("coverage") >= least))
+    own = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum(F.size(shingles(F.col("text")))).alias("n_doc"))
+    return near.join(own, "doc_id").select("doc_id", "item_id", "coverage", (F.col("shared") / F.col("n_doc")).alias("share"))
 
 
 @query(f"""
@@ -179,8 +189,7 @@ def contaminations(spark, sf_dir):
 """)
 def passage_matching(spark, sf_dir):
     """Each benchmark passage with the document that holds most of it, one to one."""
-    near = contaminations(spark, sf_dir).filter("coverage >= 0.8")
-    won = greedy_matching(near, "doc_id", "item_id", [-F.col("coverage"), -F.col("share")])
+    won = greedy_matching(contaminations(spark, sf_dir, 0.8), "doc_id", "item_id", [-F.col("coverage"), -F.col("share")])
     return won.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.round("share", 6).alias("share"))
 
 
