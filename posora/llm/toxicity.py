@@ -3,10 +3,12 @@
 A word's vector is the sum of hashed embeddings of the word, of its beginnings
 and of its end, so that inflected and compound words meet. Filters over one, two
 and three words, a maximum over the whole text for each and a logistic layer
-give a text's logit; all of it is trained in numpy, in one task, on a bounded
-sample of labelled texts (SAMPLE). A part of the sample is kept back to set the
-logit from which a text counts as toxic, for each language by itself; the language is
-told from the text by its words. Scores are such that every threshold lies at 0.5.
+give a text's logit. Training starts in numpy, in one task, from a bounded sample of
+labelled texts (SAMPLE); then every labelled text is learnt from: each task goes on from
+that start over its share of them, and what the tasks changed is averaged. A part of all
+labelled texts is kept back to set the logit from which a text counts as toxic, for each
+language by itself; the language is told from the text by its words, counted in all
+texts that aren't kept back. Scores are such that every threshold lies at 0.5.
 """
 
 from __future__ import annotations
@@ -20,20 +22,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed
+from .shared import Scratch, mixed, slices, summed, vectors
 
 #: Embeddings, their length, words of a filter and filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 16
 #: Lengths of a word's beginnings and of its end, in bytes; with the word itself the parts that a vector sums up.
 HEADS, TAIL = (3, 4, 5, 6), 4
 PARTS = len(HEADS) + 2
-#: The bounded sample: so many toxic and other texts, none of more than LONGEST words; scoring has no such bounds.
+#: The bounded sample of the start: so many toxic and other texts, none of more than LONGEST words; what follows has no such bounds.
 SAMPLE, LONGEST = (2000, 4000), 4096
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.05, 1e-5
 #: One text of each kind in so many is kept back for thresholds; a language needs so many of them, of both kinds, for one of its own.
 BACK, LEAST = 4, 40
-#: Bytes of a text that are worked on at a time.
-SLICE = 1 << 16
+#: Texts that a task goes on with; units of a change and of a logit, so that sums don't depend on their order.
+SHARE, UNIT, GRID = 1 << 13, 1 << 18, 256
+#: Bytes and words of a text that are worked on at a time.
+SLICE, SPAN = 1 << 16, 4096
 
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +96,7 @@ class TextModel:
     threshold: float = 0.0
     sure: float = 1.0
     constant: float | None = None
+    squares: dict | None = None  # sums of squared gradients, while the model is fitted
 
     def vectors(self, parts: np.ndarray) -> np.ndarray:
         """A row for each word, and rows of zeros so that the widest filter fits everywhere."""
@@ -105,6 +110,17 @@ class TextModel:
         n = len(x) - max(WIDTHS) + 1
         return np.concatenate([sum(x[j : j + n] @ w[j] for j in range(len(w))) for w in self.filters], 1)
 
+    def strongest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each filter gives at most and the word where it does first, slice by slice; zeros without words."""
+        every = np.arange(len(self.bias))
+        most, spot = np.zeros(len(every), np.float32), np.zeros(len(every), np.int64)
+        for at in range(0, len(parts), SPAN):
+            r = self.responses(self.vectors(parts[at : at + SPAN + max(WIDTHS) - 1]))[:SPAN]
+            own = r.argmax(0)
+            better = (r[own, every] > most) | (at == 0)
+            most, spot = np.where(better, r[own, every], most), np.where(better, own + at, spot)
+        return most, spot
+
     def pooled(self, most: np.ndarray) -> np.ndarray:
         return np.maximum(most + self.bias, 0)
 
@@ -132,23 +148,24 @@ class TextModel:
         return float(1 / (1 + np.exp(-np.clip(self.sure * (logit - self.thresholds.get(lang, self.threshold)), -30, 30))))
 
 
-def best_threshold(logits: np.ndarray, toxic: np.ndarray, prior: float) -> float:
-    """The logit in the middle of the gap that parts the kinds with the least error, toxic texts being a share ``prior``."""
+def best_threshold(logits: np.ndarray, toxic: np.ndarray, prior: float, counts: np.ndarray | None = None) -> float:
+    """The logit in the middle of the gap that parts the kinds with the least error, toxic texts being a share ``prior``; ``counts`` says how many texts an entry stands for."""
     order = np.argsort(logits, kind="stable")
-    x, y = logits[order], toxic[order]
-    missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum()) * prior
-    false = (len(y) - y.sum() - np.concatenate([[0], np.cumsum(~y)])) / max(1, (~y).sum()) * (1 - prior)
+    n = np.ones(len(logits), np.int64) if counts is None else counts[order]
+    x, bad, good = logits[order], np.where(toxic[order], n, 0), np.where(toxic[order], 0, n)
+    missed = np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum()) * prior
+    false = (good.sum() - np.concatenate([[0], np.cumsum(good)])) / max(1, good.sum()) * (1 - prior)
     edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
     width = np.concatenate([[1.0], x[1:] - x[:-1], [1.0]])
     cost = np.where(width > 0, missed + false, np.inf)  # equal logits stay together
     return float(edges[max(np.flatnonzero(cost <= cost.min() + 1e-12), key=lambda i: width[i])])
 
 
-def train(samples: list[tuple[np.ndarray, bool, str | None]], prior: float) -> TextModel:
-    """Fit a model to (parts of words, toxic, language); what the order of samples doesn't fix is seeded."""
+def train(samples: list[tuple[np.ndarray, bool, str | None]], prior: float, every: int = BACK) -> TextModel:
+    """Fit a model to (parts of words, toxic, language), one in ``every`` kept back for thresholds (0: none); what the order of samples doesn't fix is seeded."""
     rng = np.random.default_rng(11)
     turn = [[i for i, s in enumerate(samples) if s[1] == kind] for kind in (False, True)]
-    kept_back = {i for own in turn for i in own[BACK - 1 :: BACK]}
+    kept_back = {i for own in turn for i in (own[every - 1 :: every] if every else ())}
     back = [s for i, s in enumerate(samples) if i in kept_back]
     own = [s for i, s in enumerate(samples) if i not in kept_back]
     kinds = np.array([s[1] for s in own])
@@ -167,64 +184,119 @@ def train(samples: list[tuple[np.ndarray, bool, str | None]], prior: float) -> T
         w[:, 0, : FILTERS // 2] = np.abs(w[:, 0, : FILTERS // 2]) + 0.3
     model = TextModel(table, filters, np.zeros(f, np.float32), rng.normal(0, 0.1, f).astype(np.float32), 0.0)
     model.out[np.arange(f) % FILTERS < FILTERS // 2] += 0.2
-    weight = {True: 0.5 / max(1, kinds.sum()) * len(own), False: 0.5 / max(1, (~kinds).sum()) * len(own)}
-    squares = {"table": np.zeros(BUCKETS + 1, np.float32), "filters": [np.zeros_like(w) for w in filters], "bias": np.zeros(f), "out": np.zeros(f), "last": 0.0}
+    model.squares = {"table": np.zeros(BUCKETS + 1, np.float32), "filters": [np.zeros_like(w) for w in filters], "bias": np.zeros(f), "out": np.zeros(f), "last": 0.0}
+    weight = balance(int(kinds.sum()), int((~kinds).sum()))
+    for _ in range(EPOCHS):
+        descend(model, [x[0] for x in own], kinds, weight, rng.permutation(len(own)))
+    model.table[BUCKETS] = 0
+    learn_languages(model, own)
+    calibrate(model, back if len({s[1] for s in back}) == 2 else samples, prior)
+    return model
+
+
+def balance(toxic: int, others: int) -> dict[bool, float]:
+    """Weights of the texts of each kind, so that both kinds count alike."""
+    return {True: 0.5 / max(1, toxic) * (toxic + others), False: 0.5 / max(1, others) * (toxic + others)}
+
+
+def descend(model: TextModel, texts: list[np.ndarray], kinds: np.ndarray, weight: dict[bool, float], order: np.ndarray) -> None:
+    """One pass of the model over the texts, BATCH at a time in this order."""
+    f, squares = len(model.bias), model.squares
 
     def step(value, grad, square):
         square += grad * grad
         value -= RATE * (grad / np.sqrt(square + 1e-6)).astype(np.float32) + RATE * DECAY * value
 
-    for _ in range(EPOCHS):
-        for at in np.split(p := rng.permutation(len(own)), range(BATCH, len(p), BATCH)):
-            pooled, spots, xs = [], [], []
-            for i in at:
-                parts = own[i][0]
-                x = model.vectors(parts)
-                r = model.responses(x) if len(parts) else np.zeros((1, f), np.float32)
-                spot = r.argmax(0)
-                spots.append(spot)
-                xs.append(x)
-                pooled.append(r[spot, np.arange(f)])
-            raw = np.stack(pooled) + model.bias
-            hidden = np.maximum(raw, 0)
-            y = kinds[at]
-            error = (1 / (1 + np.exp(-(hidden @ model.out + model.last))) - y) * np.where(y, weight[True], weight[False]) / len(at)
-            back_to = (error[:, None] * model.out) * (raw > 0)
-            grads = [np.zeros_like(w) for w in filters]
-            rows, moves = [], []
-            for i, g, spot, x in zip(at, back_to, spots, xs, strict=True):
-                parts = own[i][0]
-                if not len(parts):
-                    continue
-                for k, w in enumerate(WIDTHS):
-                    cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                    live = np.flatnonzero(g[cols])
-                    for j in range(w):
-                        place = spot[cols][live] + j
-                        gl = g[cols][live]
-                        grads[k][j][:, live] += (x[place] * gl[:, None]).T
-                        inside = place < len(parts)
-                        rows.append(parts[place[inside]])
-                        moves.append(model.filters[k][j][:, live[inside]].T * gl[inside][:, None])
-            step(model.out, hidden.T @ error, squares["out"])
-            step(model.bias, back_to.sum(0), squares["bias"])
-            g = float(error.sum())
-            squares["last"] += g * g
-            model.last -= RATE * g / np.sqrt(squares["last"] + 1e-6)
-            for k in range(len(WIDTHS)):
-                step(model.filters[k], grads[k], squares["filters"][k])
-            if rows:
-                ids = np.concatenate(rows).ravel()
-                move = np.repeat(np.concatenate(moves), PARTS, 0)[ids >= 0]
-                ids, where = np.unique(ids[ids >= 0], return_inverse=True)
-                total = np.zeros((len(ids), SIZE), np.float32)
-                np.add.at(total, where, move)
-                squares["table"][ids] += (total * total).mean(1)
-                model.table[ids] -= RATE * total / np.sqrt(squares["table"][ids] + 1e-6)[:, None]
+    for at in np.split(order, range(BATCH, len(order), BATCH)):
+        most, spots = zip(*(model.strongest(texts[i]) for i in at), strict=True)
+        raw = np.stack(most) + model.bias
+        hidden = np.maximum(raw, 0)
+        y = kinds[at]
+        error = (1 / (1 + np.exp(-(hidden @ model.out + model.last))) - y) * np.where(y, weight[True], weight[False]) / len(at)
+        back_to = (error[:, None] * model.out) * (raw > 0)
+        grads = [np.zeros_like(w) for w in model.filters]
+        rows, moves = [], []
+        for i, g, spot in zip(at, back_to, spots, strict=True):
+            parts = texts[i]
+            if not len(parts):
+                continue
+            for k, w in enumerate(WIDTHS):
+                cols = slice(k * FILTERS, (k + 1) * FILTERS)
+                live = np.flatnonzero(g[cols])
+                for j in range(w):
+                    place = spot[cols][live] + j
+                    gl = g[cols][live]
+                    inside = place < len(parts)
+                    here = parts[place[inside]]
+                    grads[k][j][:, live[inside]] += (model.vectors(here)[: len(here)] * gl[inside][:, None]).T
+                    rows.append(here)
+                    moves.append(model.filters[k][j][:, live[inside]].T * gl[inside][:, None])
+        step(model.out, hidden.T @ error, squares["out"])
+        step(model.bias, back_to.sum(0), squares["bias"])
+        g = float(error.sum())
+        squares["last"] += g * g
+        model.last -= RATE * g / np.sqrt(squares["last"] + 1e-6)
+        for k in range(len(WIDTHS)):
+            step(model.filters[k], grads[k], squares["filters"][k])
+        if rows:
+            ids = np.concatenate(rows).ravel()
+            move = np.repeat(np.concatenate(moves), PARTS, 0)[ids >= 0]
+            ids, where = np.unique(ids[ids >= 0], return_inverse=True)
+            total = np.zeros((len(ids), SIZE), np.float32)
+            np.add.at(total, where, move)
+            squares["table"][ids] += (total * total).mean(1)
+            model.table[ids] -= RATE * total / np.sqrt(squares["table"][ids] + 1e-6)[:, None]
+
+
+def flat(model: TextModel) -> np.ndarray:
+    """All that tasks change but the embeddings, end to end."""
+    return np.concatenate([*(w.ravel() for w in model.filters), model.bias, model.out, [model.last]])
+
+
+def gone_on(model: TextModel, learnt: DataFrame, toxic: int, others: int) -> None:
+    """Let ``model`` learn from every row of ``learnt`` (_at, _text, _toxic, _lang), SHARE texts a task, and average what the tasks change.
+
+    An embedding is averaged over the tasks that met its part, all else over all tasks. Words of languages are counted on the way.
+    """
+    sc = learnt.sparkSession.sparkContext
+    names = [r["_lang"] for r in learnt.filter("_lang IS NOT NULL").groupBy("_lang").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).collect()]
+    model.languages = sorted(names)
+    start, weight, tasks = sc.broadcast(model), balance(toxic, others), -(-(toxic + others) // SHARE)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = start.value
+        own = pickle.loads(pickle.dumps(first))
+        met, said = np.zeros(BUCKETS + 1, bool), {lang: np.zeros(BUCKETS + 1, np.int32) for lang in own.languages}
+        some = False
+        for pdf in slices(batches):
+            texts = [np.concatenate(p) if (p := list(word_parts(t))) else np.empty((0, PARTS), np.int32) for t in pdf["_text"]]
+            descend(own, texts, pdf["_toxic"].to_numpy() == 1, weight, np.arange(len(texts)))
+            for parts, lang in zip(texts, pdf["_lang"], strict=True):
+                col = parts[:, :2].ravel()
+                if lang in said:
+                    said[lang] += np.bincount(col[col >= 0], minlength=BUCKETS + 1).astype(np.int32)
+            some = some or len(texts) > 0
+        if some:
+            met = own.squares["table"] != first.squares["table"]
+
+            def change(after: np.ndarray, before: np.ndarray) -> np.ndarray:
+                return np.rint(np.clip(after - before, -2, 2) * UNIT).astype(np.int32)
+
+            yield vectors({"table": change(own.table, first.table), "met": met.astype(np.int32), "rest": change(flat(own), flat(first)), "tasks": np.ones(1, np.int32), **{"lang " + k: v for k, v in said.items()}})
+
+    total = summed(learnt.repartition(tasks, "_at").sortWithinPartitions("_at", "_text").mapInPandas(learn, "key string, vec binary"), "int32")
+    start.unpersist()
+    if not total:
+        return
+    model.table += total["table"].reshape(-1, SIZE) / np.float32(UNIT) / np.maximum(total["met"], 1)[:, None].astype(np.float32)
     model.table[BUCKETS] = 0
-    learn_languages(model, own)
-    calibrate(model, back if len({s[1] for s in back}) == 2 else samples, prior)
-    return model
+    rest, at = (flat(model) + total["rest"] / UNIT / total["tasks"][0]).astype(np.float32), 0
+    for w in (*model.filters, model.bias, model.out):
+        w[...] = rest[at : at + w.size].reshape(w.shape)
+        at += w.size
+    model.last = float(rest[at])
+    if model.languages:
+        tell_apart(model, np.stack([total["lang " + lang] for lang in model.languages], 1).astype(float))
 
 
 def learn_languages(model: TextModel, samples: list[tuple[np.ndarray, bool, str | None]]) -> None:
@@ -238,6 +310,11 @@ def learn_languages(model: TextModel, samples: list[tuple[np.ndarray, bool, str
         if lang in model.languages and len(parts):
             col = parts[:, :2].ravel()
             counts[:, model.languages.index(lang)] += np.bincount(col[col >= 0], minlength=BUCKETS + 1)
+    tell_apart(model, counts)
+
+
+def tell_apart(model: TextModel, counts: np.ndarray) -> None:
+    """Word scores from how often each language's texts hold a word; a column for each of the model's languages."""
     model.speech = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)).astype(np.float32)
     model.speech -= model.speech.mean(1, keepdims=True)
     model.speech[BUCKETS] = 0
@@ -251,21 +328,39 @@ def calibrate(model: TextModel, samples: list[tuple[np.ndarray, bool, str | None
         if model.languages and len(parts):
             lang = model.languages[int((model.speech[parts[:, 0]].sum(0) + model.speech[parts[:, 1]].sum(0)).argmax())]
         found.append((float(model.pooled(most) @ model.out + model.last), toxic, lang))
-    logits, toxic = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-    model.threshold = best_threshold(logits, toxic, prior)
+    set_thresholds(model, np.array([x[0] for x in found]), np.array([x[1] for x in found]), [x[2] for x in found], np.ones(len(found), np.int64), prior)
+
+
+def set_thresholds(model: TextModel, logits: np.ndarray, toxic: np.ndarray, langs: list[str | None], counts: np.ndarray, prior: float) -> None:
+    """Thresholds of the model from logits, each of ``counts`` texts of a kind and a language."""
+    model.threshold, model.thresholds = best_threshold(logits, toxic, prior, counts), {}
     for lang in model.languages:
-        own = np.array([x[2] == lang for x in found])
-        if own.sum() >= LEAST and 0 < toxic[own].sum() < own.sum():
-            model.thresholds[lang] = best_threshold(logits[own], toxic[own], prior)
-    spread = np.abs(logits - np.array([model.thresholds.get(x[2], model.threshold) for x in found]))
-    model.sure = float(3 / max(1e-3, np.median(spread)))
+        own = np.array([x == lang for x in langs])
+        if counts[own].sum() >= LEAST and 0 < counts[own][toxic[own]].sum() < counts[own].sum():
+            model.thresholds[lang] = best_threshold(logits[own], toxic[own], prior, counts[own])
+    spread = np.abs(logits - np.array([model.thresholds.get(x, model.threshold) for x in langs]))
+    order = np.argsort(spread, kind="stable")
+    model.sure = float(3 / max(1e-3, spread[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)]))
+
+
+def judged_whole(model: TextModel, back: DataFrame, prior: float) -> None:
+    """Thresholds from every row of ``back``: its logits on a grid, counted by kind and language."""
+    shared = back.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shared.value.judge(t) for t in pdf["_text"]]
+            yield pd.DataFrame({"at": [int(np.rint(np.clip(x, -64, 64) * GRID)) for x, _ in found], "toxic": pdf["_toxic"].to_numpy() == 1, "lang": [lang for _, lang in found]})
+
+    cells = back.select("_text", "_toxic").mapInPandas(judge, "at int, toxic boolean, lang string").groupBy("at", "toxic", "lang").agg(F.count("*").alias("n")).orderBy("at", "toxic", "lang").collect()
+    set_thresholds(model, np.array([c["at"] / GRID for c in cells]), np.array([c["toxic"] for c in cells]), [c["lang"] for c in cells], np.array([c["n"] for c in cells]), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", sample: tuple[int, int] = SAMPLE) -> TextModel:
-    """Learn from ``sample`` texts (toxic, others) that have a label, chosen by the hash of their ids.
+    """Learn from all texts that have a label, starting from ``sample`` of them (toxic, others), chosen by the hash of their ids.
 
     Labels are 0 or 1, others and null ids are left out; an id with both is toxic.
-    Texts of over LONGEST words aren't learnt from. With labels of
+    Texts of over LONGEST words are no part of the start. With labels of
     one kind, or none, every score is that kind.
     """
     spark = docs.sparkSession
@@ -274,9 +369,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     blank = TextModel(np.zeros((1, SIZE), np.float32), [], np.zeros(0), np.zeros(0), 0.0, constant=float(1 in counts and 0 not in counts))
     if len(counts) < 2:
         return blank
-    picked = [kinds.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample[1 - k]) for k in (1, 0)]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("_lang"))
-    chosen = rows.join(F.broadcast(picked[0].union(picked[1])), "_id")  # sum(sample) ids at most
+    scratch = Scratch(spark)
+    known = scratch.save(rows.join(kinds, "_id").select("_id", F.xxhash64("_id", F.lit(1)).alias("_at"), "_text", "_toxic", "_lang"))
+
+    def numbers(df: DataFrame) -> dict[int, int]:
+        return {r["_toxic"]: r["n"] for r in df.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+
+    kept = F.pmod("_at", F.lit(BACK)) == BACK - 1
+    learnt, back = known.filter(~kept), known.filter(kept)
+    own = numbers(learnt)
+    if len(own) < 2:
+        learnt, own = known, numbers(known)
+    if len(own) < 2:
+        return blank
+    if len(numbers(back)) < 2:
+        back = known
+    ids = learnt.select("_id", "_toxic").distinct()
+    picked = [ids.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(sample[1 - k]).select("_id") for k in (1, 0)]
+    chosen = learnt.join(F.broadcast(picked[0].union(picked[1])), "_id", "left_semi")  # sum(sample) ids at most
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -285,17 +396,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keep = [len(p) <= LONGEST for p in whole]
             yield pd.DataFrame({"at": pdf["_at"][keep], "parts": [p.tobytes() for p, k in zip(whole, keep, strict=True) if k], "toxic": pdf["_toxic"][keep] == 1, "lang": pdf["_lang"][keep]})
 
-    coded = chosen.withColumn("_at", F.xxhash64("_id", F.lit(1))).mapInPandas(encode, "at long, parts binary, toxic boolean, lang string")
+    coded = chosen.mapInPandas(encode, "at long, parts binary, toxic boolean, lang string")
     prior = counts[1] / (counts[0] + counts[1])
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         samples = [(np.frombuffer(p, np.int32).reshape(-1, PARTS), bool(t), lang) for pdf in batches for p, t, lang in zip(pdf["parts"], pdf["toxic"], pdf["lang"], strict=True)]
         if len({s[1] for s in samples}) == 2:
-            yield pd.DataFrame({"model": [pickle.dumps(train(samples, prior))]})
+            yield pd.DataFrame({"model": [pickle.dumps(train(samples, prior, 0))]})
 
-    # one task trains on the sample, whatever the input
+    # one task makes the start, whatever the input
     made = coded.repartition(1).sortWithinPartitions("at", "parts").mapInPandas(learn, "model binary").collect()
-    return pickle.loads(made[0]["model"]) if made else blank
+    if not made:
+        return blank
+    model = pickle.loads(made[0]["model"])
+    gone_on(model, learnt, own[1], own[0])
+    model.squares = None
+    judged_whole(model, back, prior)
+    scratch.drop(known)
+    return model
 
 
 def scored(docs: DataFrame, model: TextModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
