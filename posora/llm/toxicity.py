@@ -36,6 +36,8 @@ EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.05, 1e-5
 BACK, LEAST = 4, 40
 #: Texts that a task goes on with; units of a change and of a logit, so that sums don't depend on their order.
 SHARE, UNIT, GRID = 1 << 13, 1 << 18, 256
+#: Bits of the marks by which texts without a label are left out before texts are dealt; 2^19 words of 64 bits at most.
+MARKS = 25
 #: Bytes and words of a text that are worked on at a time.
 SLICE, SPAN = 1 << 16, 4096
 
@@ -356,6 +358,18 @@ def judged_whole(model: TextModel, back: DataFrame, prior: float) -> None:
     set_thresholds(model, np.array([c["at"] / GRID for c in cells]), np.array([c["toxic"] for c in cells]), [c["lang"] for c in cells], np.array([c["n"] for c in cells]), prior)
 
 
+def marked(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Those ``rows`` whose _id has the mark of one of ``kinds``: all that have a label and few others.
+
+    Marks are of a bounded size whatever the number of labels, so only texts that have one are dealt when they meet it.
+    """
+    at = F.xxhash64("_id", F.lit(3)).bitwiseAND((1 << MARKS) - 1)
+    bit = F.expr("shiftleft(1L, cast(_at & 63 AS int))")
+    words = kinds.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    out = rows.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word")
+    return out.filter(F.col("_bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", sample: tuple[int, int] = SAMPLE) -> TextModel:
     """Learn from all texts that have a label, starting from ``sample`` of them (toxic, others), chosen by the hash of their ids.
 
@@ -370,8 +384,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return blank
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("_lang"))
+    if docs.schema[id_col].dataType == labels.schema[id_col].dataType:
+        rows = marked(rows, kinds)
     scratch = Scratch(spark)
-    known = scratch.save(rows.join(kinds, "_id").select("_id", F.xxhash64("_id", F.lit(1)).alias("_at"), "_text", "_toxic", "_lang"))
+    known = scratch.save(rows.hint("merge").join(kinds, "_id").select("_id", F.xxhash64("_id", F.lit(1)).alias("_at"), "_text", "_toxic", "_lang"))
+    scratch.release()
 
     def numbers(df: DataFrame) -> dict[int, int]:
         return {r["_toxic"]: r["n"] for r in df.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}

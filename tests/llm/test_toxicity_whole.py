@@ -31,3 +31,12 @@ def test_long_texts_and_sums_of_counts():
     assert np.allclose(most, whole.max(0)) and (np.abs(whole[spot, np.arange(len(spot))] - most) < 1e-5).all()
     x, y, n = np.array([0.0, 1.0, 2.0, 3.0]), np.array([False, True, False, True]), np.array([5, 1, 3, 9])
     assert toxicity.best_threshold(x, y, 0.4, n) == toxicity.best_threshold(np.repeat(x, n), np.repeat(y, n), 0.4)
+
+
+def test_texts_without_a_label_are_left_out_before_texts_are_dealt(spark):
+    for kind in ("long", "string"):
+        rows = spark.range(20000).selectExpr(f"cast(id AS {kind}) AS _id", "'a b' AS _text").union(spark.createDataFrame([(None, "x")], f"_id {kind}, _text string"))
+        kinds = spark.range(0, 40000, 7).selectExpr(f"cast(id AS {kind}) AS _id", "0 AS _toxic")
+        found = [r[0] for r in toxicity.marked(rows, kinds).select("_id").collect()]
+        wanted = {r[0] for r in rows.join(kinds, "_id").select("_id").collect()}
+        assert wanted <= set(found) and len(found) <= len(wanted) + 40
