@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, mixed, slices, summed, vectors
+from .shared import Scratch, mixed, slices
 
 #: Embeddings, their length, words of a filter and filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 16
@@ -268,7 +268,7 @@ def gone_on(model: TextModel, learnt: DataFrame, toxic: int, others: int) -> Non
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = start.value
         own = pickle.loads(pickle.dumps(first))
-        met, said = np.zeros(BUCKETS + 1, bool), {lang: np.zeros(BUCKETS + 1, np.int32) for lang in own.languages}
+        said = {lang: np.zeros(BUCKETS + 1, np.int32) for lang in own.languages}
         some = False
         for pdf in slices(batches):
             texts = [np.concatenate(p) if (p := list(word_parts(t))) else np.empty((0, PARTS), np.int32) for t in pdf["_text"]]
@@ -276,29 +276,50 @@ def gone_on(model: TextModel, learnt: DataFrame, toxic: int, others: int) -> Non
             for parts, lang in zip(texts, pdf["_lang"], strict=True):
                 col = parts[:, :2].ravel()
                 if lang in said:
-                    said[lang] += np.bincount(col[col >= 0], minlength=BUCKETS + 1).astype(np.int32)
+                    np.add.at(said[lang], col[col >= 0], 1)
             some = some or len(texts) > 0
         if some:
-            met = own.squares["table"] != first.squares["table"]
+            yield changes(own, first, said)
 
-            def change(after: np.ndarray, before: np.ndarray) -> np.ndarray:
-                return np.rint(np.clip(after - before, -2, 2) * UNIT).astype(np.int32)
-
-            yield vectors({"table": change(own.table, first.table), "met": met.astype(np.int32), "rest": change(flat(own), flat(first)), "tasks": np.ones(1, np.int32), **{"lang " + k: v for k, v in said.items()}})
-
-    total = summed(learnt.repartition(tasks, "_at").sortWithinPartitions("_at", "_text").mapInPandas(learn, "key string, vec binary"), "int32")
+    told = [*(f"d{k}" for k in range(SIZE)), *(f"l{k}" for k in range(len(model.languages)))]
+    made = learnt.repartition(tasks, "_at").sortWithinPartitions("_at", "_text").mapInPandas(learn, ", ".join(f"{c} int" for c in ("at", "met", *told)))
+    # a row for each part that was met, BUCKETS at most, and one for each number of all else
+    total = made.groupBy("at").agg(*(F.sum(c).alias(c) for c in ("met", *told))).toArrow()
     start.unpersist()
-    if not total:
+    if not total.num_rows:
         return
-    model.table += total["table"].reshape(-1, SIZE) / np.float32(UNIT) / np.maximum(total["met"], 1)[:, None].astype(np.float32)
+    at, met, *sums = (total[c].to_numpy() for c in ("at", "met", *told))
+    inside = at >= 0
+    moved = np.stack(sums[:SIZE], 1)[inside]
+    model.table[at[inside]] += moved / np.float32(UNIT) / np.maximum(met[inside], 1)[:, None].astype(np.float32)
     model.table[BUCKETS] = 0
-    rest, at = (flat(model) + total["rest"] / UNIT / total["tasks"][0]).astype(np.float32), 0
+    rest = flat(model)
+    rest[-1 - at[~inside]] += sums[0][~inside] / UNIT / met[~inside]
+    rest, place = rest.astype(np.float32), 0
     for w in (*model.filters, model.bias, model.out):
-        w[...] = rest[at : at + w.size].reshape(w.shape)
-        at += w.size
-    model.last = float(rest[at])
+        w[...] = rest[place : place + w.size].reshape(w.shape)
+        place += w.size
+    model.last = float(rest[place])
     if model.languages:
-        tell_apart(model, np.stack([total["lang " + lang] for lang in model.languages], 1).astype(float))
+        counts = np.zeros((BUCKETS + 1, len(model.languages)))
+        counts[at[inside]] = np.stack(sums[SIZE:], 1)[inside]
+        tell_apart(model, counts)
+
+
+def changes(own: TextModel, first: TextModel, said: dict[str, np.ndarray]) -> pd.DataFrame:
+    """What a task changed from ``first``: a row (at, met, d0.., l0..) for each part of words that its texts met, so
+    that few texts give few rows, and a row for each number of all else, at -1 and below."""
+
+    def change(after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return np.rint(np.clip(after - before, -2, 2) * UNIT).astype(np.int32)
+
+    met = own.squares["table"] != first.squares["table"]
+    at = np.flatnonzero(np.any([met, *(said[lang] != 0 for lang in own.languages)], 0))
+    moved, rest = change(own.table[at], first.table[at]), change(flat(own), flat(first))
+    langs = [said[lang][at] for lang in own.languages]
+    parts = pd.DataFrame({"at": at.astype(np.int32), "met": met[at].astype(np.int32), **{f"d{k}": moved[:, k] for k in range(SIZE)}, **{f"l{k}": x for k, x in enumerate(langs)}})
+    others = pd.DataFrame(0, np.arange(len(rest)), parts.columns, np.int32).assign(at=-1 - np.arange(len(rest), dtype=np.int32), met=np.int32(1), d0=rest)
+    return pd.concat([parts, others])
 
 
 def learn_languages(model: TextModel, samples: list[tuple[np.ndarray, bool, str | None]]) -> None:

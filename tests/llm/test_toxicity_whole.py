@@ -1,5 +1,6 @@
 """Toxicity is learnt from every labelled text, not from the sample that it starts from."""
 
+import pickle
 import random
 
 import numpy as np
@@ -40,3 +41,27 @@ def test_texts_without_a_label_are_left_out_before_texts_are_dealt(spark):
         found = [r[0] for r in toxicity.marked(rows, kinds).select("_id").collect()]
         wanted = {r[0] for r in rows.join(kinds, "_id").select("_id").collect()}
         assert wanted <= set(found) and len(found) <= len(wanted) + 40
+
+
+def test_few_texts_deal_few_rows(spark):
+    """Each of many tasks deals what its own texts changed, not all embeddings (8 MB and more a task before)."""
+    rng = random.Random(4)
+    texts = [(i, " ".join("".join(rng.choice("klmno") for _ in range(4)) for _ in range(8)), i % 2) for i in range(80)]
+    parts = [np.concatenate(list(toxicity.word_parts(t))) for _, t, _ in texts]
+    first = toxicity.train([(p, bool(y), "aa") for p, (_, _, y) in zip(parts, texts, strict=True)], 0.5)
+    own = pickle.loads(pickle.dumps(first))
+    toxicity.descend(own, parts[:8], np.arange(8) % 2 == 1, {True: 1.0, False: 1.0}, np.arange(8))
+    said = np.zeros(toxicity.BUCKETS + 1, np.int32)
+    np.add.at(said, np.concatenate([p[:, :2].ravel() for p in parts[:8]]), 1)
+    rows = toxicity.changes(own, first, {"aa": said})
+    known = np.unique(np.concatenate(parts[:8]))
+    assert first.languages == ["aa"] and set(rows["at"][rows["at"] >= 0]) <= set(known[known >= 0])
+    assert len(rows) <= len(known) + len(toxicity.flat(first)) and rows["l0"].sum() == said.sum()
+    # one task gives its own model
+    spread = spark.createDataFrame([(i, t, y, "aa") for i, (_, t, y) in enumerate(texts[:8])], "_at long, _text string, _toxic int, _lang string")
+    order = sorted(range(8), key=lambda i: (i, texts[i][1]))
+    again, alone = pickle.loads(pickle.dumps(first)), pickle.loads(pickle.dumps(first))
+    weight = toxicity.balance(4, 4)
+    toxicity.descend(alone, [parts[i] for i in order], np.array([texts[i][2] == 1 for i in order]), weight, np.arange(8))
+    toxicity.gone_on(again, spread, 4, 4)
+    assert np.abs(again.table[:-1] - alone.table[:-1]).max() < 1e-4 and np.abs(toxicity.flat(again) - toxicity.flat(alone)).max() < 1e-4
