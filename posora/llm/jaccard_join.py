@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -175,10 +175,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     def listed(tokens: DataFrame) -> DataFrame:
         """All pairs of different classes that share a token and pass the filters, each where it first meets."""
-        alive = tokens.groupBy("id", "n", "band", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
-        each = alive.select("id", "n", "band", "c", "own", F.posexplode("own").alias("k", "at"))
-        each = each.select("id", "n", "band", "c", F.col("at.pos").alias("pos"), F.col("at.token").alias("token"), F.expr(f"transform(slice(own, greatest(k - {BEFORE}, 0) + 1, least(k, {BEFORE})), x -> x.token)").alias("before"))
-        each = each.join(entries.select("id", *(f"b{k}" for k in range(4))), "id")
+        # dealt by the document, once, before its tokens become rows again
+        alive = tokens.repartition("id").groupBy("id", "n", "band", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
+        alive = alive.join(entries.select("id", *(f"b{k}" for k in range(4))), "id")
+        each = alive.select("id", "n", "band", "c", *(f"b{k}" for k in range(4)), "own", F.posexplode("own").alias("k", "at"))
+        each = each.select("id", "n", "band", "c", *(f"b{k}" for k in range(4)), F.col("at.pos").alias("pos"), F.col("at.token").alias("token"), F.expr(f"transform(slice(own, greatest(k - {BEFORE}, 0) + 1, least(k, {BEFORE})), x -> x.token)").alias("before"))
         # sets of like length are in one band or in neighbouring ones
         other = each.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") - F.col("below"))
         x, y = each.alias("x"), other.alias("y")
@@ -190,20 +191,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     listings: list[DataFrame] = []
     for r in range(rounds + 1):
+        # Most tokens stand in one document alone, or in documents of quite other lengths. All are dealt once; what goes on
+        # are those of several classes, in documents whose next shorter or longer one of the token passes the length filter.
+        bucket = Window.partitionBy("token")
+        below, above = F.lag("n").over(bucket.orderBy("n")), F.lead("n").over(bucket.orderBy("n"))
+        told = tokens.select("*", F.coalesce(100 * below >= percent * F.col("n"), F.lit(False)).alias("down"), F.coalesce(100 * F.col("n") >= percent * above, F.lit(False)).alias("up"))
+        told = told.select("*", F.min("c").over(bucket).alias("c0"), F.max("c").over(bucket).alias("c1"))
+        kept = scratch.save(told.filter("c0 < c1 and (down or up)").select("id", "n", "band", "pos", "token", "c"))
         if r:
-            open_ = tokens.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
-            kept = scratch.save(tokens.join(open_, "token", "left_semi"))
-            if r > 1:
-                scratch.drop(held)
-            tokens = held = kept
+            scratch.drop(held)
+        tokens = held = kept
         if r == rounds:
             met = listed(tokens)
         else:
-            # the bucket's first document, then one drawn anew for each bucket and round
-            draw = F.struct("id", "n", "pos") if not r else F.struct(F.xxhash64("id", "token", F.lit(r)).alias("draw"), "id", "n", "pos", "c")
-            hubs = tokens.groupBy("token", "band").agg(F.min(draw).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-            hubs = hubs.select("token", "band", "hub.*") if r else hubs.select("token", "band", "hub.*", F.col("hub.id").alias("c"))
-            met = tokens.alias("x").join(hubs.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & near("x", "y"))
+            # the bucket's first document, then one drawn anew for each bucket and round; tokens are dealt once, to find it and to meet it
+            draw = F.struct("id", "n", "pos", "c") if not r else F.struct(F.xxhash64("id", "token", F.lit(r)).alias("draw"), "id", "n", "pos", "c")
+            hubbed = tokens.withColumn("hub", F.min(draw).over(Window.partitionBy("token", "band"))).filter("hub.c != c")
+            hubbed = hubbed.select(F.struct("id", "n", "pos").alias("x"), F.col("hub").alias("y"))
+            met = hubbed.filter(near("x", "y"))
             met = met.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
         if seen is not None:
             met = met.join(seen, ["a", "b"], "left_anti")
@@ -218,11 +223,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         scratch.release()
         if r < rounds and labels is not None:
             named = labels.select("id", F.col("component").alias("_c"))
-            if r == 0:  # whole prefixes are fewer and smaller rows than their tokens
-                tokens = entries.select("id", "n", "head").join(named, "id", "left").select("id", "n", bands.alias("band"), F.posexplode("head").alias("pos", "token"), F.coalesce("_c", "id").alias("c"))
-            else:
-                tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
-    scratch.drop(entries, *listings, *([held] if rounds else []))
+            tokens = tokens.drop("c").join(named, "id", "left").withColumn("c", F.coalesce("_c", "id")).drop("_c")
+    scratch.drop(entries, *listings, held)
     if labels is None:
         labels = spark.createDataFrame([], f"id {kind}, component {kind}")
     named = classes.join(labels, F.col("rep") == labels["id"], "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
