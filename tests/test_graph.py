@@ -3,6 +3,7 @@
 import random
 
 from posora.operators.graph import components
+from posora.operators.relational import connected_components_by_nation
 from posora.scratch import Scratch
 
 
@@ -31,3 +32,10 @@ def test_components_equal_those_of_a_plain_search(spark):
                 least[a] = least[b] = min(least[a], least[b])
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(found) == len(least) and dict(found) == least
+
+
+def test_components_by_nation_take_every_supplier(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 8)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8), (5, 9)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = sorted(map(tuple, connected_components_by_nation(spark, str(tmp_path)).collect()))
+    assert found == [(1, 1), (2, 2), (1000000001, 1), (1000000002, 1), (1000000003, 2)]
