@@ -548,3 +548,37 @@ def test_very_long_texts_are_taken_in_parts(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "LAP", 200)
     found = {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(docs).collect()}
     assert found == {(1, 4070, 4130), (2, 3, 63)}
+
+
+def test_passages_edited_away_from_the_first_document_meet_the_others(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    docs, want, line = [], set(), fresh(35)
+    for _ in range(30):
+        passage = fresh(96)
+        for edits in ((), (10, 50), (30, 75), (20, 64), (40, 85)):  # each is like the one before, the later ones not like the first
+            passage = [fresh(1)[0] if k in edits else x for k, x in enumerate(passage)]
+            before = fresh(rng.randint(5, 40))
+            if edits:
+                want.add((len(docs), len(before), len(before) + 96))
+            docs.append(before + passage + fresh(rng.randint(5, 40)))
+    docs += [fresh(60) + line + fresh(60) for _ in range(100)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    assert {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(df).filter("not first").collect()} == want
+
+
+def test_rare_ones_leave_out_stretches_that_cannot_be_alike_and_name_one_of_any_other():
+    rng = np.random.default_rng(3)
+    assert substring_dedup.sure_run(46, 5, 80) == 19 and substring_dedup.sure_run(46, 5, 100) == 46
+    line = np.zeros(200, bool)
+    line[80:115] = True
+    assert not substring_dedup.rare_ones(line, np.ones(200, bool), line, np.ones(200, np.int64), 46, 80).any()
+    for _ in range(200):
+        shared, rank = rng.random(150) < 0.93, rng.integers(1, 1000, 150)
+        goals = substring_dedup.in_runs(shared, 19)
+        asked = substring_dedup.rare_ones(shared, np.ones(150, bool), goals, rank, 46, 80)
+        start = int(rng.integers(0, 90))
+        end = start + int(rng.integers(46, 61))
+        own = shared[start:end] & (rng.random(end - start) < 0.97)  # what one other text shares
+        if 100 * own.sum() >= 80 * (end - start) and goals[start:end].any():
+            assert (own & asked[start:end]).any()
